@@ -38,7 +38,7 @@ def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
 
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of a table's size; it only sizes sketches and partitions, results do not depend on it."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def partitions_for(df: DataFrame, bytes_each: int = 32 << 20) -> int:

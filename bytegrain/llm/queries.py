@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 from bytegrain.llm.decontaminate import decontaminate
 from bytegrain.llm.exact_dedup import exact_dedup
 from bytegrain.llm.license_scan import license_scan
+from bytegrain.llm.passages import remove_passages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_remove_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_passages(_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, benchmark = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark")
     c = F.col("contamination")
@@ -34,6 +39,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_remove_passages": op3_remove_passages,
     "op5_decontaminate": op5_decontaminate,
     "op7_license_scan": op7_license_scan,
     "op9_exact_dedup": op9_exact_dedup,
@@ -43,6 +49,15 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_remove_passages": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, s, sha256(array_to_string(w[s:s + 34], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS s FROM d WHERE len(w) >= 35)),
+rep AS (SELECT doc_id, s FROM win JOIN (SELECT h FROM win GROUP BY h HAVING count(*) > 1) USING (h)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 35)) AS p FROM rep),
+word AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)""",
     "op5_decontaminate": f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') AS w FROM benchmark),
