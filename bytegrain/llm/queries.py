@@ -11,6 +11,7 @@ from bytegrain.llm.decontaminate import decontaminate
 from bytegrain.llm.exact_dedup import exact_dedup
 from bytegrain.llm.license_scan import license_scan
 from bytegrain.llm.passages import remove_passages
+from bytegrain.llm.token_files import read_token_files, write_token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,11 +39,23 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"), digest=True).withColumnsRenamed({"id": "doc_id", "sha256": "text_sha256"})
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = write_token_files(_table(spark, sf_dir, "documents"), tokenizer_path(), end=0)
+    return read_token_files(files).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_remove_passages": op3_remove_passages,
     "op5_decontaminate": op5_decontaminate,
     "op7_license_scan": op7_license_scan,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_token_files": op10_token_files,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
