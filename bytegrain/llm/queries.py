@@ -9,19 +9,42 @@ from pyspark.sql import functions as F
 
 from bytegrain.llm.decontaminate import decontaminate
 from bytegrain.llm.exact_dedup import exact_dedup
+from bytegrain.llm.language_id import identify, learn_profiles
 from bytegrain.llm.license_scan import license_scan
 from bytegrain.llm.passages import remove_passages
+from bytegrain.llm.secret_scan import learn_formats, secret_spans
 from bytegrain.llm.token_files import read_token_files, write_token_files
+from bytegrain.llm.url_filter import filter_urls, labelled_urls, train
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_spans(documents, learn_formats(documents))
+    base, spans = F.col("secrets")["base"], F.col("secrets")["spans"]
+
+    def told(s):
+        return F.array_join(F.transform(s, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+    def count(kind):
+        return F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(told(base), 256).alias("base_sha256"), told(spans).alias("spans"))
+
+
 def op3_remove_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_passages(_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    f = F.col("url_filter")
+    return filter_urls(pages, train(labelled_urls(spark))).select("page_id", *(f[n].alias(n) for n in ("host", "path", "rule", "verdict", "score")))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, benchmark = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark")
     c = F.col("contamination")
@@ -35,6 +58,18 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def held_out():
+    """Documents that language identification is tested on: never learned from."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = F.coalesce(held_out(), F.lit(False))
+    profiles = learn_profiles(documents, learn=~out)
+    return identify(documents.select("doc_id", "text"), profiles).select("doc_id", out.alias("held_out"), F.col("language")["lang"].alias("lang_pred"), F.col("language")["score"].alias("score"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"), digest=True).withColumnsRenamed({"id": "doc_id", "sha256": "text_sha256"})
 
@@ -51,9 +86,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secret_scan": op2_secret_scan,
     "op3_remove_passages": op3_remove_passages,
+    "op4_url_filter": op4_url_filter,
     "op5_decontaminate": op5_decontaminate,
     "op7_license_scan": op7_license_scan,
+    "op8_language_id": op8_language_id,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_token_files": op10_token_files,
 }
