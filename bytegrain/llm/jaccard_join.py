@@ -282,24 +282,12 @@ def _named_sets(documents: DataFrame, names: DataFrame, n: int, log2: int) -> Da
     return documents.select("text").mapInArrow(run, "name binary, shingles binary")
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """a, b from cluster, name, shingles in which each cluster's rows follow each other: each set and its component's first set."""
-    held: tuple[bytes | None, dict[bytes, np.ndarray]] = None, {}
-
-    def done(sets: dict[bytes, np.ndarray]) -> pa.RecordBatch:
-        names = sorted(sets)
-        found = join_cluster([sets[x] for x in names])
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([names[i] for i in found], pa.binary())], names=["a", "b"])
-
-    for batch in batches:
-        for cluster, name, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if cluster != held[0]:
-                if len(held[1]) > 1:
-                    yield done(held[1])
-                held = cluster, {}
-            held[1][name] = np.frombuffer(shingles, np.uint64)
-    if len(held[1]) > 1:
-        yield done(held[1])
+def _joined(rows: pa.Table) -> pa.Table:
+    """a, b from a cluster's rows: each set and its component's first set."""
+    sets = {n: np.frombuffer(s, np.uint64) for n, s in zip(rows.column("name").to_pylist(), rows.column("shingles").to_pylist(), strict=True)}
+    names = sorted(sets)
+    found = join_cluster([sets[x] for x in names])
+    return pa.table([pa.array(names, pa.binary()), pa.array([names[i] for i in found], pa.binary())], names=["a", "b"])
 
 
 def _split(big: DataFrame, pivots: int, round_: int) -> tuple[DataFrame, DataFrame]:
@@ -315,7 +303,8 @@ def _split(big: DataFrame, pivots: int, round_: int) -> tuple[DataFrame, DataFra
     for r in sorted(rows, key=lambda r: (bytes(r["cluster"]), bytes(r["name"]))):
         table.setdefault(bytes(r["cluster"]), []).append((bytes(r["name"]), np.frombuffer(bytes(r["shingles"]), np.uint64)))
     known = spark.sparkContext.broadcast(table)
-    window = 2 * (1 - NUM / DEN) + 1e-9
+    window = 2 * (1 - NUM / DEN) + 1e-9  # wider than any ball, so links to pivots are always inside
+    pivots_of = {cluster: {name for name, _ in own} for cluster, own in table.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -328,9 +317,7 @@ def _split(big: DataFrame, pivots: int, round_: int) -> tuple[DataFrame, DataFra
                 distance = 1 - common / (sizes + len(s) - common)
                 ball = linked(common, sizes, np.full(len(own), len(s)))
                 for i in np.flatnonzero(distance <= distance.min() + window).tolist():
-                    out.append((cluster + own[i][0], name, shingles, own[i][0], float(distance[i]), bool(ball[i]), name == own[i][0]))
-                for i in np.flatnonzero(ball & (distance > distance.min() + window)).tolist():
-                    out.append((b"", name, b"", own[i][0], float(distance[i]), True, True))
+                    out.append((cluster + own[i][0], name, shingles, own[i][0], float(distance[i]), bool(ball[i]), name in pivots_of[cluster]))
             columns = list(zip(*out, strict=True)) or [[]] * 7
             kinds = [pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.bool_(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["cluster", "name", "shingles", "pivot", "distance", "ball", "over"])
@@ -339,9 +326,8 @@ def _split(big: DataFrame, pivots: int, round_: int) -> tuple[DataFrame, DataFra
     links = dealt.where("ball and name <> pivot").select(F.col("name").alias("a"), F.col("pivot").alias("b"))
     least = dealt.where("not ball and not over").groupBy("cluster").agg(F.min("distance").alias("least"))
     rest = dealt.where("not over").join(least, "cluster").where(f"not ball or distance + {1 - NUM / DEN} + 1e-9 >= least")
-    # a pivot was compared with its whole cluster in this round, so it goes on nowhere
-    gone = spark.createDataFrame([(bytearray(n),) for own in table.values() for n, _ in own], "name binary")
-    return links, stored(rest.join(gone, "name", "left_anti").select(F.sha2(F.col("cluster"), 256).cast("binary").alias("cluster"), "name", "shingles"), "jaccard-rest")
+    # over: a pivot was compared with its whole cluster in this round, so it goes on in none of its regions
+    return links, stored(rest.select(F.sha2(F.col("cluster"), 256).cast("binary").alias("cluster"), "name", "shingles"), "jaccard-rest")
 
 
 def _orphan_links(documents: DataFrame, nodes: DataFrame, n: int, block: int = 256) -> DataFrame | None:
@@ -420,6 +406,5 @@ def jaccard_components(documents: DataFrame, *, id: str = "doc_id", text: str =
 
 
 def _local(sets: DataFrame) -> DataFrame:
-    """Links inside clusters that fit in memory; a cluster's rows come one after another."""
-    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sets.select("cluster", "name", "shingles").repartition(parts, "cluster").sortWithinPartitions("cluster").mapInArrow(_joined, "a binary, b binary")
+    """Links inside clusters that fit in memory."""
+    return sets.select("cluster", "name", "shingles").groupBy("cluster").applyInArrow(_joined, "a binary, b binary")
