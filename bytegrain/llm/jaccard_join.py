@@ -254,14 +254,14 @@ def _nodes(documents: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, sets in _pieces(batch, 1, n):
+            for row, sets in _pieces(batch, 2, n):
                 keys, docs, orphan = region_keys(sets)
                 some = often.value.may(keys)
                 keys, docs = keys[some], docs[some]
                 order = np.argsort(docs, kind="stable")
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets.size)), pa.array(sets.size), sets.names(), pa.array(orphan), _lists(keys[order], docs[order], len(sets.size))], names=["id", "size", "name", "orphan", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets.size)), batch.column(1).slice(row, len(sets.size)), pa.array(sets.size), sets.names(), pa.array(orphan), _lists(keys[order], docs[order], len(sets.size))], names=["id", "text_key", "size", "name", "orphan", "keys"])
 
-    return stored(documents.select("id", "text").mapInArrow(run, "id long, size long, name binary, orphan boolean, keys array<long>"), "jaccard-nodes")
+    return stored(documents.select("id", "text_key", "text").mapInArrow(run, "id long, text_key long, size long, name binary, orphan boolean, keys array<long>"), "jaccard-nodes")
 
 
 def _named_sets(documents: DataFrame, names: DataFrame, n: int, log2: int) -> DataFrame:
@@ -359,9 +359,9 @@ def _orphan_links(documents: DataFrame, nodes: DataFrame, n: int, block: int = 2
 
 
 def jaccard_components(documents: DataFrame, *, id: str = "doc_id", text: str = "text", n: int = 3, local: int = 8 << 20, pivots: int = 32) -> DataFrame:
-    """One row per document: id, size (of its set), name (of its set, null if empty), component_id (the smallest id reachable by links). id is a long."""
+    """One row per document: id, text_key (a hash of the text), size (of its set), name (of its set, null if empty), component (a name, null if empty), component_id (the smallest id reachable by links). id is a long."""
     bounded_batches(documents.sparkSession)
-    documents = documents.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+    documents = documents.select(F.col(id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text).alias("text"))
     nodes = _nodes(documents, n)
     regions = nodes.where(F.size("keys") > 0).select("name", F.explode("keys").alias("key")).distinct()
     first = regions.groupBy("key").agg(F.min("name").alias("first"), F.max("name").alias("last")).where("first <> last").select("key", "first")
@@ -398,11 +398,24 @@ def jaccard_components(documents: DataFrame, *, id: str = "doc_id", text: str =
         for x in links[1:]:
             every = every.union(x)
         found = components(every).withColumnRenamed("node", "name")
-    own = nodes.select("id", "size", "name").join(found, "name", "left").withColumn("component", F.coalesce("component", "name"))
+    own = nodes.select("id", "text_key", "size", "name").join(found, "name", "left").withColumn("component", F.coalesce("component", "name"))
     own = stored(own, "jaccard-found")
     least = own.where("name is not null").groupBy("component").agg(F.min("id").alias("component_id"))
-    whole = own.where("name is not null").join(least, "component").select("id", "size", "name", "component_id")
-    return whole.union(own.where("name is null").select("id", "size", "name", F.col("id").alias("component_id")))
+    whole = own.where("name is not null").join(least, "component").select("id", "text_key", "size", "name", "component", "component_id")
+    return whole.union(own.where("name is null").select("id", "text_key", "size", "name", "component", F.col("id").alias("component_id")))
+
+
+def keep_one(documents: DataFrame, *, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """The rows of documents that stay when of each component only the one with the smallest id (nulls last) does.
+
+    Rows equal in id and text are one document. A text without words is linked with nothing and stays.
+    """
+    found = jaccard_components(documents, id=id, text=text, **how)
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("text_key").alias("text_key")))
+    kept = found.where("component is not null").groupBy("component").agg(first.alias("first")).select("first.id", "first.text_key").union(found.where("component is null").select("id", "text_key").distinct())
+    k, d = stored(kept.select(F.col("id").alias("_id"), F.col("text_key").alias("_key")), "jaccard-kept").alias("_k"), documents.withColumn("_text_key", F.xxhash64(F.col(text))).alias("_d")
+    rows = d.join(k, F.col(f"_d.{id}").cast("long").eqNullSafe(F.col("_k._id")) & (F.col("_d._text_key") == F.col("_k._key")), "left_semi")
+    return rows.dropDuplicates([id, "_text_key"]).drop("_text_key")
 
 
 def _local(sets: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from bytegrain.llm.exact_dedup import exact_dedup
 from bytegrain.llm.jaccard_join import jaccard_components
 from bytegrain.llm.language_id import identify, learn_profiles
 from bytegrain.llm.license_scan import license_scan
+from bytegrain.llm.mixing import mix, quality_domains
 from bytegrain.llm.passages import remove_passages
 from bytegrain.llm.secret_scan import learn_formats, secret_spans
 from bytegrain.llm.token_files import read_token_files, write_token_files
@@ -22,6 +23,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates that bring good, poor and toxic text to 90, 8 and 2 per cent of the tokens, at the corpus's own total."""
+    table, _ = mix(_table(spark, sf_dir, "documents"), quality_domains(_table(spark, sf_dir, "labels")), [0.90, 0.08, 0.02])
+    p = [F.round(F.col("p")[d], 9).alias(f"p_{name}") for d, name in enumerate(("good", "poor", "toxic"))]
+    return table.select(F.col("id").alias("doc_id"), "tokens", *p, F.round("rate", 6).alias("rate"), "copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("_row")).drop("_row")
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secret_spans(documents, learn_formats(documents))
@@ -91,6 +99,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_secret_scan": op2_secret_scan,
     "op3_remove_passages": op3_remove_passages,
     "op4_url_filter": op4_url_filter,
