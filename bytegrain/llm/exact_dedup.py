@@ -38,8 +38,8 @@ def _bit_table(pairs: DataFrame, bits: int) -> DataFrame:
     """One row: an array of 2**(bits-6) longs with the pairs' bits set. Its size is fixed by `bits`."""
     at = _slot(bits)
     words = pairs.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, cast({_SLOT.format(mask=63)} as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    entries = words.agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))
-    return entries.select(F.transform(F.sequence(F.lit(0).cast("long"), F.lit((1 << bits - 6) - 1).cast("long")), lambda i: F.coalesce(F.col("m")[i], F.lit(0).cast("long"))).alias("bits"))
+    every = pairs.sparkSession.range(1 << bits - 6).withColumnRenamed("id", "word").join(words, "word", "left")
+    return every.agg(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))["bits"].alias("bits"))
 
 
 _SLOT = "xxhash64(length, prefix) & {mask}L"
@@ -56,7 +56,8 @@ def exact_dedup(documents: DataFrame, *, id: str = "doc_id", text: str = "text",
 
     small = stored(keyed.select("length", "prefix"), "exact-lengths")
     by_length = small.groupBy("length").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("length")
-    by_prefix = small.join(by_length, "length", "left_semi").groupBy("length", "prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # counted before the join, so that a hot length brings one row for each prefix and task
+    by_prefix = small.groupBy("length", "prefix").agg(F.count(F.lit(1)).alias("n")).join(by_length, "length", "left_semi").where("n > 1")
     table = stored(_bit_table(by_prefix.select("length", "prefix"), bits), "exact-bits")
 
     at = _slot(bits)
@@ -66,8 +67,9 @@ def exact_dedup(documents: DataFrame, *, id: str = "doc_id", text: str = "text",
     rows = stored(probed.select(F.monotonically_increasing_id().alias("row"), "id", "length", "rival", (full if digest else F.when(F.col("rival"), full)).alias("sha256")), "exact-hashes")
 
     first = F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("row").alias("row")))
-    groups = rows.where("rival").groupBy("length", "sha256").agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
-    found = rows.where("rival").join(groups, ["length", "sha256"]).select(
-        "id", F.col("first.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("row") == F.col("first.row")).alias("kept"), "sha256")
+    # stored, so that the join's two sides are plain shuffles and Spark can split a hot group of copies
+    groups = stored(rows.where("rival").groupBy("length", "sha256").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "exact-groups")
+    found = rows.where("rival").join(groups, ["length", "sha256"], "left").select(
+        "id", F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("keep_id"), F.coalesce("n", F.lit(1).cast("long")).alias("group_size"), F.coalesce(F.col("row") == F.col("first.row"), F.lit(True)).alias("kept"), "sha256")
     alone = rows.where("not rival").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha256")
     return alone.unionByName(found)
