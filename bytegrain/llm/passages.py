@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytegrain.llm._shared import bounded_batches, estimated_bytes
+from bytegrain.llm._shared import bounded_batches, estimated_bytes, stored
 from bytegrain.llm._sketch import Twice, log2_for, may_repeat, members
 from bytegrain.llm._words import U, Words, covered, mixed, texts
 
@@ -164,7 +164,8 @@ def remove_passages(documents: DataFrame, *, id: str = "doc_id", text: str = "te
     repeated = spark.sparkContext.broadcast(may_repeat(documents.select("text"), _anchor_keys(size, gram), log2))
     several = spark.sparkContext.broadcast(_several(documents, repeated, size, gram, log2))
     keyed = _keyed(documents, repeated, several, size, gram)
-    again = keyed.groupBy("anchor", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", "key")
+    # stored, so that the join's two sides are plain shuffles and Spark can split a hot passage
+    again = stored(keyed.groupBy("anchor", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", "key"), "passages")
     spans = keyed.join(again, ["anchor", "key"], "left_semi").groupBy("id", "text_key").agg(F.collect_set(F.struct("first", "windows")).alias("spans")).alias("s")
     d = documents.alias("d")
     found = d.join(spans, F.col("d.id").eqNullSafe(F.col("s.id")) & (F.col("d.text_key") == F.col("s.text_key")), "left").select("d.id", "d.text", "s.spans")
