@@ -22,7 +22,7 @@ def layout_order(layout: str) -> list:
 def numbered(entries: DataFrame, layout: str = "lexical", size: str | None = None) -> DataFrame:
     """logical_name, uncompressed_size, entry_id (from 0); with `size` (a long column) also `before`, its sum over earlier rows."""
     order = layout_order(layout)
-    columns = ["logical_name", "uncompressed_size", *([size] if size else [])]
+    columns = list(dict.fromkeys(["logical_name", "uncompressed_size", *([size] if size else [])]))
     own = F.coalesce(F.col(size), F.lit(0).cast("long")) if size else F.lit(0).cast("long")
     parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = stored(entries.select(*columns).repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
