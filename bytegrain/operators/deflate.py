@@ -52,14 +52,23 @@ def limited_lengths(counts: list[int], limit: int) -> list[int]:
         raise CompressionFailed("no symbols")
     if len(counts) > 1 << limit:
         raise CompressionFailed("too many symbols for the limit")
-    one = np.eye(len(counts), dtype=np.int64)
-    coins = sorted(((c, False, one[i]) for i, c in enumerate(counts)), key=lambda x: x[0])
-    level: list = []
+    by_count = np.argsort(counts, kind="stable")
+    coins = np.asarray(counts, np.int64)[by_count]
+    levels: list[np.ndarray] = []  # which items of a denomination, cheapest first, are packages
+    packages = np.zeros(0, np.int64)
     for _ in range(limit):
-        packages = [(a[0] + b[0], True, a[2] + b[2]) for a, b in zip(level[::2], level[1::2], strict=False)]
-        level = sorted([*packages, *coins], key=lambda x: x[:2])  # a coin before a package of its weight
-    chosen = level[: 2 * len(counts) - 2]
-    return sum((x[2] for x in chosen), np.zeros(len(counts), np.int64)).tolist()
+        weights = np.concatenate((coins, packages))
+        package = np.arange(len(weights)) >= len(coins)
+        order = np.lexsort((package, weights))  # a coin before a package of its weight
+        levels.append(package[order])
+        weights = weights[order]
+        packages = weights[: len(weights) // 2 * 2].reshape(-1, 2).sum(axis=1)
+    out, take = np.zeros(len(counts), np.int64), 2 * len(counts) - 2
+    for level in reversed(levels):
+        bought = int(level[:take].sum())
+        out[by_count[: take - bought]] += 1
+        take = 2 * bought
+    return out.tolist()
 
 
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:

@@ -1,9 +1,10 @@
 """Matching of one block: greedy with one step of look-ahead.
 
 All positions before the current one are candidates as soon as they are passed, so
-the chain of a position (earlier positions with the same bucket, latest first) does
-not depend on the matches found: both chains are computed for the whole buffer at
-once by sorting, and the loop only walks them.
+the chain of a position (earlier positions with the same bucket, latest first) and
+its best match do not depend on how the block is parsed. Chains come from one sort;
+best matches of all positions are found together, a chain step at a time, comparing
+eight bytes at once; the parse is then a walk over arrays.
 """
 
 from __future__ import annotations
@@ -44,91 +45,101 @@ def indexed_positions(data: np.ndarray, stride: int) -> np.ndarray:
     return held
 
 
-def _chain(keys: np.ndarray, member: np.ndarray | None = None) -> list[int]:
+def _chain(keys: np.ndarray, member: np.ndarray | None = None) -> np.ndarray:
     """For each position the latest earlier one (of the members) with the same key, or -1."""
     order = np.argsort(keys, kind="stable")
     at = np.where(member[order], order, -1) if member is not None else order
     same = np.concatenate(([False], keys[order][1:] == keys[order][:-1]))
-    group = np.cumsum(~same) - 1
-    # the latest member so far inside the group: positions grow inside a group, so a running maximum over group-shifted values finds it
-    shift = group * (len(keys) + 1)
+    # positions grow inside a group, so the latest member so far is a running maximum of values shifted by group
+    shift = (np.cumsum(~same) - 1) * (len(keys) + 1)
     best = np.maximum.accumulate(np.where(at >= 0, at + 1, 0) + shift) - shift
-    before = np.where(same, np.concatenate(([0], best[:-1])), 0)
     out = np.empty(len(keys), np.int64)
-    out[order] = before - 1
-    return out.tolist()
+    out[order] = np.where(same, np.concatenate(([0], best[:-1])), 0) - 1
+    return out
 
 
-def _common(data: bytes, a: int, b: int, most: int) -> int:
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position as a number, the first byte lowest."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8))).astype(np.uint64)
+    out = np.zeros(len(data) + 1, np.uint64)
+    for k in range(8):
+        out |= padded[k : k + len(data) + 1] << np.uint64(8 * k)
+    return out
+
+
+def _common(eights: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
     """Equal bytes from a and from b, up to most."""
-    if data[a : a + most] == data[b : b + most]:
-        return most
-    low = 0
-    step = 16
-    while data[a + low : a + low + step] == data[b + low : b + low + step]:
-        low += step
-    while data[a + low] == data[b + low]:
-        low += 1
-    return low
-
-
-def _longest(data: bytes, pos: int, cand: int, chain: list[int], budget: int, enough: int, least: int) -> tuple[int, int]:
-    """The longest match of at least `least` bytes among the candidates, the nearest of equals: length (0 if none) and distance."""
-    best, where = least - 1, 0
-    room = min(LONGEST, len(data) - pos)
-    enough = min(enough, room)
-    while cand >= 0 and budget > 0:
-        distance = pos - cand
-        if distance > WINDOW:
+    out, live, done = most.copy(), np.arange(len(a)), 0
+    while len(live):
+        x = eights[a[live] + done] ^ eights[b[live] + done]
+        differ = x != 0
+        low = x[differ]
+        out[live[differ]] = done + (np.bitwise_count((low & (~low + np.uint64(1))) - np.uint64(1)).astype(np.int64) >> 3)
+        done += 8
+        live = live[~differ]
+        live = live[most[live] > done]
+    return np.minimum(out, most)
+
+
+def _best(data: np.ndarray, eights: np.ndarray, chain: np.ndarray, at: np.ndarray, budget: int, enough: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the positions `at`: length and distance of the best match among `budget` candidates (the longest, the nearest of equals; 0 if none), and
+    its length if the position just before isn't a candidate yet and another may be tried instead."""
+    n, first = len(data), chain
+    length, distance = np.full(len(chain), SHORTEST - 1), np.zeros(len(chain), np.int64)
+    frozen = None
+    cand = chain[at]
+    live = (cand >= 0) & (at - cand <= WINDOW)
+    at, cand = at[live], cand[live]
+    for step in range(budget + 1):
+        if step == budget:
+            # a match at distance 1 has one byte, so leaving that candidate out only makes room for one more
+            frozen = length.copy(), distance.copy()
+            some = first[at] == at - 1
+            at, cand = at[some], cand[some]
+        if not len(at):
             break
-        most = min(room, distance)
-        if most > best and data[cand + best] == data[pos + best]:
-            n = _common(data, cand, pos, most)
-            if n > best:
-                best, where = n, distance
-                if n >= enough:
-                    break
+        apart = at - cand
+        room = np.minimum(LONGEST, n - at)
+        most, known = np.minimum(room, apart), length[at]
+        i = np.flatnonzero(most > known)
+        i = i[data[cand[i] + known[i]] == data[at[i] + known[i]]]
+        got = _common(eights, cand[i], at[i], most[i])
+        better = got > known[i]
+        i, got = i[better], got[better]
+        length[at[i]], distance[at[i]] = got, apart[i]
         cand = chain[cand]
-        budget -= 1
-    return (best, where) if where else (0, 0)
+        live = (length[at] < np.minimum(enough, room)) & (cand >= 0) & (at - cand <= WINDOW)
+        at, cand = at[live], cand[live]
+    ahead = np.where(distance > 0, length, 0)
+    length, distance = frozen or (length, distance)
+    return np.where(distance > 0, length, 0), distance, ahead
 
 
 def tokenize(data: bytes, start: int, max_chain: int, nice: int, indexed: np.ndarray | None = None) -> Tokens:
     """Tokens of data[start:]; what lies before start can be matched. indexed: which positions the index holds."""
     raw = np.frombuffer(data, np.uint8)
     keys = bucket(raw)
-    window = _chain(keys)
-    index = _chain(keys, indexed[: len(keys)]) if indexed is not None else None
-    n, pos = len(data), start
-    length: list[int] = []
-    value: list[int] = []
-    from_window = from_index = 0
+    n, size = len(data), len(keys)
+    best, far, ahead, by_index = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64), np.zeros(n + 2, np.int64), np.zeros(n + 1, bool)
+    if size > start:
+        eights = _eights(raw)
+        at = np.arange(start, size)
+        best[:size], far[:size], ahead[:size] = _best(raw, eights, _chain(keys), at, max_chain, nice)
+        if indexed is not None:
+            at = at[best[at] < nice]
+            length, distance, _ = _best(raw, eights, _chain(keys, indexed[:size]), at, n, LONGEST + 1)
+            # the index wins ties
+            wins = (length > best[:size]) | ((length == best[:size]) & (length > 0) & (distance <= far[:size]))
+            best[:size][wins], far[:size][wins], by_index[:size] = length[wins], distance[wins], wins
+    # one step of look-ahead: a short match gives way to a longer one from the next position
+    waits = (best > 0) & (best < min(nice, LAZY_BELOW)) & (ahead[1:] > best)
+    step = np.where(waits | (best == 0), 1, best).tolist()
+    visited = []
+    pos = start
     while pos < n:
-        if pos + SHORTEST > n:
-            length += [0] * (n - pos)
-            value += data[pos:]
-            break
-        best, distance = _longest(data, pos, window[pos], window, max_chain, nice, SHORTEST)
-        by_index = False
-        if index is not None and best < nice:
-            # the index wins ties, so it only has to reach what the window has
-            other, there = _longest(data, pos, index[pos], index, n, LONGEST + 1, max(SHORTEST, best))
-            if other and (other > best or there <= distance):
-                best, distance, by_index = other, there, True
-        if best and best < nice and best < LAZY_BELOW and pos + 1 + SHORTEST <= n:
-            ahead = window[pos + 1]
-            if ahead == pos:  # the current position can't be matched before it is passed
-                ahead = window[pos]
-            if _longest(data, pos + 1, ahead, window, max_chain, nice, best + 1)[0]:
-                best = 0
-        if best:
-            from_index += by_index
-            from_window += not by_index
-            length.append(best)
-            value.append(distance)
-            pos += best
-        else:
-            length.append(0)
-            value.append(data[pos])
-            pos += 1
-    return Tokens(np.array(length, np.uint16), np.array(value, np.uint16), from_window, from_index)
+        visited.append(pos)
+        pos += step[pos]
+    v = np.array(visited, np.int64)
+    match = (best[v] > 0) & ~waits[v]
+    own = v[match]
+    return Tokens(np.where(match, best[v], 0).astype(np.uint16), np.where(match, far[v], raw[v] if n else 0).astype(np.uint16), int((~by_index[own]).sum()), int(by_index[own].sum()))
