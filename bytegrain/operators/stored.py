@@ -8,12 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with its file system, as Spark resolves it, in the form that other readers take too."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return "file:///" + full.removeprefix("file:").lstrip("/") if full.startswith("file:") else full
+
+
 def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share; a local one is set only where none is named."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="bytegrain-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/") if ":" in found else "file://" + found.rstrip("/")
+    return qualified(spark, found.rstrip("/"))
 
 
 def stored(df: DataFrame) -> DataFrame:
