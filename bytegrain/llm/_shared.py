@@ -2,20 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a local one is set only where none is named."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        context = spark.sparkContext._jsc.sc()
-        found = context.getCheckpointDir().get() if context.getCheckpointDir().isDefined() else "file://" + tempfile.mkdtemp(prefix="bytegrain-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/") if "://" in found or found.startswith("file:") else "file://" + found.rstrip("/")
+from bytegrain.operators.stored import shared_folder
 
 
 def new_path(spark: SparkSession, what: str) -> str:
