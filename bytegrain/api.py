@@ -83,6 +83,7 @@ def run_harness(spark: SparkSession, out: str, large: bool = False, level: int =
         own = entries.select(F.lit(name).alias("workload_id"), "logical_name", "content")
         rows = own if rows is None else rows.union(own)
     compared = stored(harness.winners(harness.best_of_modes(runs), harness.stock_baselines(rows, level)))
+    harness.stock_blobs(rows, level).write.mode("overwrite").parquet(f"file://{os.path.abspath(out)}/baselines")
     harness.write_reports(f"file://{os.path.abspath(out)}/reports", compared, harness.summary(runs))
     return compared
 

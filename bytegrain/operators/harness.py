@@ -42,6 +42,15 @@ def stock_baselines(entries: DataFrame, level: int = 6) -> DataFrame:
     return entries.select("workload_id", "logical_name", "content").groupBy("workload_id").applyInArrow(run, ddl)
 
 
+def stock_blobs(entries: DataFrame, level: int = 6) -> DataFrame:
+    """workload_id, blob: the stock codec's stream of each workload's joined files, to be kept beside the reports."""
+    def run(table: pa.Table) -> pa.Table:
+        files = dict(sorted(zip(table.column("logical_name").to_pylist(), table.column("content").to_pylist(), strict=True)))
+        return pa.Table.from_pylist([{"workload_id": table.column("workload_id")[0].as_py(), "blob": stock_deflate(b"".join(files.values()), level)}])
+
+    return entries.select("workload_id", "logical_name", "content").groupBy("workload_id").applyInArrow(run, "workload_id string, blob binary")
+
+
 def _rate(ms: str):
     return F.col("raw_bytes") / (1 << 20) / (F.greatest(ms, F.lit(1.0)) / 1000)
 

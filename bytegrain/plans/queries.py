@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from bytegrain.config import MODE_TABLE, MODES, PLANNING, Profile
 from bytegrain.functions import sql as S
 from bytegrain.operators import harness
-from bytegrain.operators.archive import block_trace, compress, local_offsets, write_archives
+from bytegrain.operators.archive import block_trace, compress, local_offsets, plan_blocks, write_archives
 from bytegrain.operators.explain import as_json, explain, explain_files
 from bytegrain.operators.intel import archive_model, decide, intel, intel_summary, signals
 from bytegrain.operators.layout import numbered
@@ -145,6 +145,14 @@ def trace_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_trace(entries(spark, sf_dir), Profile(adaptive=True))
 
 
+def adaptive_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document is cut, with its content looked at."""
+    p = Profile(mode="Off")
+    whole = signals(entries(spark, sf_dir), p, keep_content=True)
+    decided = decide(whole, archive_model(whole.drop("content"), p), p)
+    return plan_blocks(decided, p).select("logical_name", "block_id", "offset", "length", "blocks")
+
+
 def archive_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items compressed, written, read back and compared: every row must match."""
     source = entries(spark, sf_dir, "benchmark")
@@ -200,6 +208,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "explain_json": explain_json,
     "crc32_documents": crc32_documents,
     "compress_documents": compressed_documents,
+    "adaptive_blocks": adaptive_blocks,
     "block_trace": trace_documents,
     "archive_round_trip": archive_round_trip,
     "verify_summary": verify_summary,

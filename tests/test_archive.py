@@ -168,6 +168,9 @@ def test_matrix(spark, tmp_path):
     compared = harness.winners(harness.best_of_modes(runs), harness.stock_baselines(rows))
     best = {r["workload_id"]: r for r in compared.collect()}
     assert round(best[names[0]]["engine_ratio"], 6) == 1 and best[names[0]]["ratio_winner"] == "engine" and round(best[names[1]]["engine_ratio"], 6) == 0.077523
+    from bytegrain.operators.deflate import inflate
+
+    assert {r["workload_id"]: inflate(bytes(r["blob"])) for r in harness.stock_blobs(rows).collect()} == {w: b"".join(c for p, c in sorted(files.items()) if p.startswith(w)) for w in names}
     total = harness.summary(runs).first()
     assert total["archives_built"] == 6 and total["verification_pass_rate"] == 1 and total["modes_tested"] == 2
     harness.write_reports(f"file://{tmp_path}/r", compared, harness.summary(runs))
