@@ -43,7 +43,7 @@ def _slot(word: Column, slots: int) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(slots).cast("long")).cast("int")
 
 
-def learn(documents: DataFrame, labels: DataFrame, domains: int, *, id: str = "doc_id", text: str = "text", domain: str = "domain", most_labelled: int = 20_000, slots: int = 1 << 14) -> tuple[DataFrame, list[float]]:
+def learn(documents: DataFrame, labels: DataFrame, domains: int, *, id: str = "doc_id", text: str = "text", domain: str = "domain", most_labelled: int = 20_000, slots: int = 1 << 17) -> tuple[DataFrame, list[float]]:
     """weights (slot, w0..: log-likelihoods above the mean of the domains) and log priors. labels: id, domain (0..domains-1)."""
     few = labels.where(F.col(domain).isNotNull() & F.col(id).isNotNull()).select(F.col(id).alias("id"), F.col(domain).cast("int").alias("domain")).orderBy(F.xxhash64(id), "id", "domain").limit(most_labelled)
     few = stored(few, "mixing-labels")
@@ -61,7 +61,7 @@ def learn(documents: DataFrame, labels: DataFrame, domains: int, *, id: str = "d
     return table.select("slot", *((x - mean).alias(f"w{d}") for d, x in enumerate(logs))), prior
 
 
-def posteriors(documents: DataFrame, weights: DataFrame, prior: list[float], *, id: str = "doc_id", text: str = "text", evidence: int = 256, slots: int = 1 << 14) -> DataFrame:
+def posteriors(documents: DataFrame, weights: DataFrame, prior: list[float], *, id: str = "doc_id", text: str = "text", evidence: int = 256, slots: int = 1 << 17) -> DataFrame:
     """id, key (a hash of the text), tokens, p (an array of the domains' posteriors): one row for each distinct id and text, with `rows`, how often it occurs."""
     k = len(prior)
     whole = documents.select(F.col(id).alias("id"), F.xxhash64(F.col(text)).alias("key"), words_of(F.col(text)).alias("words"))
@@ -86,10 +86,10 @@ def rate_column(steps: list[list[float]], k: int, least_rate: float) -> Column:
     return F.aggregate(F.array(*dots), F.lit(1.0), lambda r, dot: F.greatest(r - dot, F.lit(float(least_rate))))
 
 
-def fit(table: DataFrame, weights: list[float], *, least_rate: float = 0.0, total: float | None = None, rounds: int = 30, close: float = 1e-6) -> tuple[list[list[float]], dict]:
+def fit(table: DataFrame, weights: list[float], *, least_rate: float = 0.0, total: float | None = None, most_growth: float = 1.25, rounds: int = 30, close: float = 1e-6) -> tuple[list[list[float]], dict]:
     """Steps for rate_column() and what they reach. table: rows, tokens, p. weights: the targets' shares.
 
-    total: target of all tokens; None takes the corpus as it is, or with least_rate 1 the smallest total at which no domain shrinks.
+    total: target of all tokens; None takes the corpus as it is, or with least_rate 1 the smallest total at which no domain shrinks, but at most most_growth times the corpus (then domains above their target stay above it).
     """
     k = len(weights)
     pair = [(i, j) for i in range(k) for j in range(i, k)]
@@ -105,7 +105,7 @@ def fit(table: DataFrame, weights: list[float], *, least_rate: float = 0.0, tota
     now = np.array(row[1 + len(pair) :]) / tokens
     share = np.array(weights, float) / sum(weights)
     if total is None:
-        total = tokens * (max([1.0, *(now[share > 0] / share[share > 0])]) if least_rate >= 1 else 1.0)
+        total = tokens * (min(max([1.0, *(now[share > 0] / share[share > 0])]), most_growth) if least_rate >= 1 else 1.0)
     target = share * (total / tokens)
     inverse = np.linalg.pinv(m + 1e-9 * np.eye(k))
     steps: list[list[float]] = []
@@ -124,14 +124,14 @@ def fit(table: DataFrame, weights: list[float], *, least_rate: float = 0.0, tota
     return steps, {"totals": (now * tokens).tolist(), "targets": (target * tokens).tolist(), "rounds": len(steps)}
 
 
-def mix(documents: DataFrame, labels: DataFrame, weights: list[float], *, id: str = "doc_id", text: str = "text", least_rate: float = 0.0, total: float | None = None, **how) -> tuple[DataFrame, dict]:
+def mix(documents: DataFrame, labels: DataFrame, weights: list[float], *, id: str = "doc_id", text: str = "text", least_rate: float = 0.0, total: float | None = None, most_growth: float = 1.25, **how) -> tuple[DataFrame, dict]:
     """id, key, rows, tokens, p, rate, copies for each distinct document, as a table that is stored; and the totals reached.
 
     labels: id, domain (0..len(weights)-1).
     """
     classifier, prior = learn(documents, labels, len(weights), id=id, text=text, **how)
     table = stored(posteriors(documents, stored(classifier, "mixing-weights"), prior, id=id, text=text), "mixing-posteriors")
-    steps, reached = fit(table, weights, least_rate=least_rate, total=total)
+    steps, reached = fit(table, weights, least_rate=least_rate, total=total, most_growth=most_growth)
     chance = F.pmod(F.xxhash64("id", "key", F.lit("copies")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     whole = F.floor("rate")
     return table.withColumn("rate", rate_column(steps, len(weights), least_rate)).withColumn("copies", (whole + (chance < F.col("rate") - whole).cast("int")).cast("long")), reached
