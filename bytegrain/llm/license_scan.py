@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from bytegrain.llm._shared import stored
+
 # Phrase or sentence of a licence, label, whether it is a base phrase.
 TEMPLATES = [
     ("cc by", "cc-by", True),
@@ -54,7 +56,7 @@ def template_grams(spark: SparkSession, templates: list[tuple[str, str, bool]])
     return spark.range(1).select(F.inline(F.array(*rows))).select(F.xxhash64("first", "second").alias("gram"), "first", "second", "template", "at")
 
 
-def license_spans(documents: DataFrame, *, id: str = "doc_id", text: str = "text", templates: list[tuple[str, str, bool]] = TEMPLATES, neighbours: int = 2, cover: float = 0.6, least_votes: int = 3) -> DataFrame:
+def license_spans(documents: DataFrame, *, id: str = "doc_id", text: str = "text", templates: list[tuple[str, str, bool]] = TEMPLATES, neighbours: int = 2, cover: float = 0.75, least_votes: int = 3) -> DataFrame:
     """id, key (a hash of the text), template, label, base, first (word where it starts), score (votes a template position), exact: one row per verified span."""
     spark = documents.sparkSession
     if any(not 2 <= len(p.split()) <= 64 for p, _, _ in templates):
@@ -62,7 +64,8 @@ def license_spans(documents: DataFrame, *, id: str = "doc_id", text: str = "text
     words = documents.select(F.col(id).alias("id"), F.xxhash64(F.col(text)).alias("key"), word_list(F.col(text)).alias("words"))
     grams = words.select("id", "key", "words", F.posexplode("words").alias("pos", "word")).withColumn("next", F.get("words", F.col("pos") + 1)).select("id", "key", "pos", "word", "next", F.xxhash64("word", "next").alias("gram"))
     hits = grams.join(F.broadcast(template_grams(spark, templates)), "gram").where((F.col("word") == F.col("first")) & (F.col("next") == F.col("second")))
-    diagonals = hits.groupBy("id", "key", "template", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("votes"))
+    # stored: both kinds of templates are judged from it, and the texts are cut into words once
+    diagonals = stored(hits.groupBy("id", "key", "template", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("votes")), "license-diagonals")
 
     size = F.element_at(F.array(*(F.lit(len(p.split()) - 1) for p, _, _ in templates)), F.col("template") + 1)
     label = F.element_at(F.array(*(F.lit(x) for _, x, _ in templates)), F.col("template") + 1)
