@@ -150,7 +150,7 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes pieces of a string column; keeps the ids of at most `most` distinct pieces."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 250_000):
         self.tokenizer, self.most = _tokenizer(path), most
         self._forget()
 
@@ -190,14 +190,9 @@ class Encoder:
         return ids, lengths
 
 
-@functools.cache
-def _encoder(path: str) -> Encoder:
-    return Encoder(path)
-
-
-def encode_texts(column: pa.Array | pa.ChunkedArray, path: str, end: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for _, data, offsets in texts(column, 6 << 20):
-        yield _encoder(path).encode(data, offsets, end)
+def encode_texts(column: pa.Array | pa.ChunkedArray, encoder: Encoder, end: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for _, data, offsets in texts(column):
+        yield encoder.encode(data, offsets, end)
 
 
 # --- Spark ---------------------------------------------------------------------
@@ -223,13 +218,15 @@ def write_token_files(documents: DataFrame, tokenizer: str, *, id: str = "doc_id
         from pyspark import TaskContext
 
         doc_ids, lengths, ids = [], [], []
+        encoder = Encoder(tokenizer)  # its cache ends with the task
         for batch in batches:
             doc_ids += batch.column(0).to_pylist()
-            for got, n in encode_texts(batch.column(2), tokenizer, end):
+            for got, n in encode_texts(batch.column(2), encoder, end):
                 ids.append(got.astype(np.uint16) if bits <= 16 else got)
                 lengths.append(n)
         if not doc_ids:
             return
+        del encoder
         part = TaskContext.get().partitionId()
         system, top = _open(folder)
         system.create_dir(top, recursive=True)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from bytegrain.llm.mixing import DOMAINS, fit, mix, mixed_documents, quality_domains, rate_column
 from bytegrain.llm.queries import QUERIES, tokenizer_path
-from bytegrain.llm.token_files import TokenFile, _tokenizer, bits_for, encode_file, encode_texts, pack, read_token_files, unpack, write_token_files
+from bytegrain.llm.token_files import Encoder, TokenFile, _tokenizer, bits_for, encode_file, encode_texts, pack, read_token_files, unpack, write_token_files
 
 SF = "/root/testdata/sf0.001"
 DDL = "doc_id long, text string"
@@ -44,7 +44,7 @@ def test_pieces_encode_as_whole_texts():
     alphabet = list(" \n\t  　\u0085  \x0b\x1c\x1fa1é'.,日s") + ["<|endoftext|>", "don't", "  x"]
     rows = ["", None, " ", "trail \n", "<|endoftext|> x"] + ["".join(random.choice(alphabet) for _ in range(random.randint(0, 40))) for _ in range(3000)]
     got = []
-    for ids, n in encode_texts(pa.array(rows), tokenizer_path(), 0):
+    for ids, n in encode_texts(pa.array(rows), Encoder(tokenizer_path(), most=500), 0):
         got += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
     t = _tokenizer(tokenizer_path())
     assert got == [[*t.encode(r or "", add_special_tokens=False).ids, 0] for r in rows]
