@@ -9,8 +9,11 @@ followed by an avalanche step).
 
 from __future__ import annotations
 
+import ctypes
 import functools
-from collections.abc import Iterator
+import platform
+import sys
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +42,7 @@ def _powers(base: int, log2: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(base, max(20, int(n).bit_length()))
+    return _powers(base, max(16, int(max(n, 1) - 1).bit_length()))
 
 
 @functools.cache
@@ -64,7 +67,7 @@ def _fold(kind: str, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     return word, value
 
 
-def texts(column: pa.Array | pa.ChunkedArray, most_bytes: int = 2 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def texts(column: pa.Array | pa.ChunkedArray, most_bytes: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Pieces of a string column of about most_bytes: first row, bytes, and offsets (one more than rows). Null is empty."""
     chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
     row = 0
@@ -85,6 +88,19 @@ def texts(column: pa.Array | pa.ChunkedArray, most_bytes: int = 2 << 20) -> Iter
         row += len(chunk)
 
 
+def freed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A mapInArrow function that gives freed memory back to the system at its end: Python workers stay on and wait for other tasks."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux" and platform.libc_ver()[0] == "glibc":
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
 class Words:
     """The words of one piece: start and end bytes, document, hash, and each document's first word (words_at)."""
 

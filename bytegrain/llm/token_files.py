@@ -43,9 +43,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from bytegrain.llm._shared import bounded_batches, new_path, partitions_for, stored
-from bytegrain.llm._words import SPACES, texts
+from bytegrain.llm._words import SPACES, freed, texts
 
 HEADER = struct.Struct("<4sIIIqqq")
+_ASCII_SPACE = frozenset(" \t\n\r\v\f")
 MAGIC, BLOCK, NULL_ID = b"BGT1", 1 << 14, -(1 << 63)
 
 
@@ -127,6 +128,18 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@functools.cache
+def _token_bytes(path: str) -> np.ndarray:
+    """Bytes of each id: a byte-level token's name has a character a byte; an added token stands for its own text."""
+    tokenizer = _tokenizer(path)
+    out = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True), np.int64)
+    for name, id in tokenizer.get_vocab(with_added_tokens=True).items():
+        out[id] = len(name)
+    for id, token in tokenizer.get_added_tokens_decoder().items():
+        out[id] = len(token.content.encode())
+    return out
+
+
 def vocabulary_size(path: str) -> int:
     return _tokenizer(path).get_vocab_size(with_added_tokens=True)
 
@@ -150,8 +163,8 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes pieces of a string column; keeps the ids of at most `most` distinct pieces."""
 
-    def __init__(self, path: str, most: int = 250_000):
-        self.tokenizer, self.most = _tokenizer(path), most
+    def __init__(self, path: str, most: int = 400_000):
+        self.tokenizer, self.most, self.bytes_of = _tokenizer(path), most, _token_bytes(path)
         self._forget()
 
     def _forget(self) -> None:
@@ -165,12 +178,23 @@ class Encoder:
         if len(slots) + len(new) > self.most:
             self._forget()
             slots, new = self.slots, keys
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for k, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                slots[k] = len(slots)
-                self.flat.extend(e.ids)
-                self.ends.append(len(self.flat))
+        # pieces between which no token can lie (one ends with a non-space, the next begins with a space) are encoded many at a time
+        plain, alone = [], []
+        for k in new:
+            (plain if k[0] in _ASCII_SPACE and not k[-1].isspace() else alone).append(k)
+        for group, each in ((plain, 256), (alone, 1)):
+            runs = [group[at : at + each] for at in range(0, len(group), each)]
+            for run, e in zip(runs, self.tokenizer.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False), strict=True):
+                ids, before = np.array(e.ids, np.uint32), len(self.flat)
+                self.flat.frombytes(ids.tobytes())
+                if each > 1:
+                    sizes = np.cumsum(np.fromiter(map(len, map(str.encode, run)), np.int64, len(run)))
+                    ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), sizes) + 1 + before
+                    slots.update(zip(run, range(len(slots), len(slots) + len(run)), strict=True))
+                    self.ends.frombytes(ends.astype(np.int64).tobytes())
+                else:
+                    slots[run[0]] = len(slots)
+                    self.ends.append(len(self.flat))
         return np.fromiter(map(slots.__getitem__, keys), np.int64, len(keys))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -191,7 +215,7 @@ class Encoder:
 
 
 def encode_texts(column: pa.Array | pa.ChunkedArray, encoder: Encoder, end: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for _, data, offsets in texts(column):
+    for _, data, offsets in texts(column, 2 << 20):
         yield encoder.encode(data, offsets, end)
 
 
@@ -237,7 +261,7 @@ def write_token_files(documents: DataFrame, tokenizer: str, *, id: str = "doc_id
         system.move(temporary, name)
         yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([f"{folder}/part-{part:06d}.tokens"]), pa.array([len(doc_ids)]), pa.array([len(flat)])], names=["part", "path", "documents", "ids"])
 
-    return stored(ranges.mapInArrow(write, "part long, path string, documents long, ids long"), "token-files")
+    return stored(ranges.mapInArrow(freed(write), "part long, path string, documents long, ids long"), "token-files")
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
@@ -265,4 +289,4 @@ def read_token_files(files: DataFrame) -> DataFrame:
                         )
                         at = to
 
-    return placed.select("path", "start").repartition(many, "path").mapInArrow(read, "id long, start long, n_tokens long, ids_crc32 long, path string, position long")
+    return placed.select("path", "start").repartition(many, "path").mapInArrow(freed(read), "id long, start long, n_tokens long, ids_crc32 long, path string, position long")
