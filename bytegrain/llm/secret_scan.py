@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bytegrain.llm._shared import bounded_batches
+from bytegrain.llm._words import freed
 
 # The base patterns, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -205,7 +206,7 @@ class Formats:
 RESULT = "base array<struct<start: long, end: long, kind: string>>, spans array<struct<start: long, end: long, kind: string>>"
 
 
-def learn_formats(documents: DataFrame, *, text: str = "text", most_labelled: int = 2000, least: float = 1.5, alpha: float = 0.05) -> Formats:
+def learn_formats(documents: DataFrame, *, text: str = "text", most_labelled: int = 500, least: float = 1.5, alpha: float = 0.05) -> Formats:
     """Formats from at most most_labelled texts with base spans, those with the smallest hashes."""
     bounded_batches(documents.sparkSession)
 
@@ -215,13 +216,13 @@ def learn_formats(documents: DataFrame, *, text: str = "text", most_labelled: in
             for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if v := values(t):
                     order.append(key)
-                    words = sorted(w for w in set(t.split()) if w.isalpha() and w.isascii())[:20]
+                    words = sorted(w for w in set(t.split()) if w.isalpha() and w.isascii())[:5]
                     found.append([{"kind": k, "value": x} for k, x in v] + [{"kind": "", "value": w} for w in words])
             yield pa.RecordBatch.from_arrays([pa.array(order, pa.int64()), pa.array(found, pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())])))], names=["key", "found"])
 
     # the pattern is a cheap filter in the JVM for texts that may have a span
     near = F.col(text).rlike(r"(?i)passw|secret|token|api_?key|AKIA|[0-9a-f]{32}")
-    rows = documents.select(F.xxhash64(text).alias("key"), F.col(text).alias("text")).where(near).mapInArrow(label, "key long, found array<struct<kind: string, value: string>>")
+    rows = documents.select(F.xxhash64(text).alias("key"), F.col(text).alias("text")).where(near).mapInArrow(freed(label), "key long, found array<struct<kind: string, value: string>>")
     got = [(x["kind"], x["value"]) for r in rows.orderBy("key", F.to_json("found")).limit(most_labelled).collect() for x in r["found"]]
     return Formats([x for x in got if x[0]], sorted({v for k, v in got if not k}), least, alpha)
 
@@ -247,4 +248,4 @@ def secret_spans(documents: DataFrame, formats: Formats, *, text: str = "text",
                 rows.append({n: [{"start": a, "end": b, "kind": k} for a, b, k in spans] for n, spans in (("base", base), ("spans", both))})
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], names=[*batch.schema.names, into])
 
-    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField(into, result)]))
+    return documents.mapInArrow(freed(run), T.StructType([*documents.schema.fields, T.StructField(into, result)]))
