@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from bytegrain.llm._shared import bounded_batches, estimated_bytes, stored
 from bytegrain.llm._sketch import log2_for, may_repeat, members
-from bytegrain.llm._words import U, Words, mixed, texts
+from bytegrain.llm._words import U, Words, freed, mixed, texts
 from bytegrain.llm.components import components
 
 #: Linked: NUM * union <= DEN * intersection.
@@ -261,7 +261,7 @@ def _nodes(documents: DataFrame, n: int) -> DataFrame:
                 order = np.argsort(docs, kind="stable")
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets.size)), batch.column(1).slice(row, len(sets.size)), pa.array(sets.size), sets.names(), pa.array(orphan), _lists(keys[order], docs[order], len(sets.size))], names=["id", "text_key", "size", "name", "orphan", "keys"])
 
-    return stored(documents.select("id", "text_key", "text").mapInArrow(run, "id long, text_key long, size long, name binary, orphan boolean, keys array<long>"), "jaccard-nodes")
+    return stored(documents.select("id", "text_key", "text").mapInArrow(freed(run), "id long, text_key long, size long, name binary, orphan boolean, keys array<long>"), "jaccard-nodes")
 
 
 def _named_sets(documents: DataFrame, names: DataFrame, n: int, log2: int) -> DataFrame:
@@ -279,7 +279,7 @@ def _named_sets(documents: DataFrame, names: DataFrame, n: int, log2: int) -> Da
                     out[name[i]] = sets.shingles[sets.ends[i] : sets.ends[i + 1]].tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(list(out.values()), pa.binary())], names=["name", "shingles"])
 
-    return documents.select("text").mapInArrow(run, "name binary, shingles binary")
+    return documents.select("text").mapInArrow(freed(run), "name binary, shingles binary")
 
 
 def _joined(rows: pa.Table) -> pa.Table:
@@ -322,7 +322,7 @@ def _split(big: DataFrame, pivots: int, round_: int) -> tuple[DataFrame, DataFra
             kinds = [pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.bool_(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["cluster", "name", "shingles", "pivot", "distance", "ball", "over"])
 
-    dealt = stored(big.select("cluster", "name", "shingles").mapInArrow(run, "cluster binary, name binary, shingles binary, pivot binary, distance double, ball boolean, over boolean"), "jaccard-regions")
+    dealt = stored(big.select("cluster", "name", "shingles").mapInArrow(freed(run), "cluster binary, name binary, shingles binary, pivot binary, distance double, ball boolean, over boolean"), "jaccard-regions")
     links = dealt.where("ball and name <> pivot").select(F.col("name").alias("a"), F.col("pivot").alias("b"))
     least = dealt.where("not ball and not over").groupBy("cluster").agg(F.min("distance").alias("least"))
     rest = dealt.where("not over").join(least, "cluster").where(f"not ball or distance + {1 - NUM / DEN} + 1e-9 >= least")
@@ -353,7 +353,7 @@ def _orphan_links(documents: DataFrame, nodes: DataFrame, n: int, block: int = 2
                         found += [(name[i], other) for i in np.flatnonzero(hit).tolist()]
                     yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], names=["a", "b"])
 
-        more = documents.select("text").mapInArrow(run, "a binary, b binary").where("a <> b").distinct()
+        more = documents.select("text").mapInArrow(freed(run), "a binary, b binary").where("a <> b").distinct()
         out = more if out is None else out.union(more)
     return out
 
@@ -372,7 +372,8 @@ def jaccard_components(documents: DataFrame, *, id: str = "doc_id", text: str =
     sets = _named_sets(documents, clusters, n, log2)
     # copies of a set come from many tasks; the first of each is kept before its cluster is known
     sets = clusters.join(sets.groupBy("name").agg(F.first("shingles").alias("shingles")), "name").select("cluster", "name", "shingles")
-    sizes = nodes.join(clusters, "name").select("cluster", "name", "size").distinct().groupBy("cluster").agg(F.sum("size").alias("total"))
+    # each set once before the join: copies of one set may be a third of all rows
+    sizes = nodes.select("name", "size").distinct().join(clusters, "name").groupBy("cluster").agg(F.sum("size").alias("total"))
     too_big = sizes.where(F.col("total") > local).select("cluster")
     links: list[DataFrame] = []
     if too_big.isEmpty():
@@ -400,7 +401,7 @@ def jaccard_components(documents: DataFrame, *, id: str = "doc_id", text: str =
         found = components(every).withColumnRenamed("node", "name")
     own = nodes.select("id", "text_key", "size", "name").join(found, "name", "left").withColumn("component", F.coalesce("component", "name"))
     own = stored(own, "jaccard-found")
-    least = own.where("name is not null").groupBy("component").agg(F.min("id").alias("component_id"))
+    least = stored(own.where("name is not null").groupBy("component").agg(F.min("id").alias("component_id")), "jaccard-least")
     whole = own.where("name is not null").join(least, "component").select("id", "text_key", "size", "name", "component", "component_id")
     return whole.union(own.where("name is null").select("id", "text_key", "size", "name", "component", F.col("id").alias("component_id")))
 
