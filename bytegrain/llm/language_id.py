@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from bytegrain.llm._shared import bounded_batches
+from bytegrain.llm._words import freed
 
 UNKNOWN = "und"
 _BITS = np.uint64(21)
@@ -113,11 +114,16 @@ def learn_profiles(documents: DataFrame, *, learn: Column, id: str = "doc_id", t
     """Profiles from the rows where `learn` is true."""
     bounded_batches(documents.sparkSession)
     rows = documents.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.xxhash64(id, text).alias("key"), F.col(text).alias("text"))
-    w = Window.partitionBy("lang").orderBy("key")
-    # Spark keeps the first most_labelled rows of each task before the shuffle, so a hot language brings few rows; the keys are a bounded list
-    keys = rows.select("lang", "key").withColumn("n", F.row_number().over(w)).where(F.col("n") <= most_labelled).select("lang", "key").distinct()
+    # a row a language is broadcast, as the profiles are;
+    # a share of each language's rows by hash, twice as many as are wanted, so that no task meets all rows of a hot language
+    share = F.shiftrightunsigned("key", 11) / F.lit(float(1 << 53))
+    counts = rows.groupBy("lang").agg((2.0 * most_labelled / F.count(F.lit(1))).alias("most"))
+    few = rows.select("lang", "key", share.alias("share")).join(F.broadcast(counts), "lang").where(F.col("share") < F.col("most"))
+    w = Window.partitionBy("lang").orderBy("share")
+    # a bounded list: most_labelled keys a language
+    keys = few.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most_labelled).select("lang", "key").distinct()
     chosen = rows.join(F.broadcast(keys), ["lang", "key"], "left_semi").select("lang", "text")
-    counts = chosen.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = chosen.mapInArrow(freed(_counted), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # the code as an unsigned number: the sign bit first
     order = Window.partitionBy("lang").orderBy(F.desc("n"), (F.col("gram") < 0).cast("int"), "gram")
     best = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).orderBy("lang", "rank").collect()
@@ -141,4 +147,4 @@ def identify(documents: DataFrame, profiles: Profiles, *, text: str = "text", in
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, into])
 
     result = T.StructType.fromDDL("lang string, score double")
-    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField(into, result)]))
+    return documents.mapInArrow(freed(run), T.StructType([*documents.schema.fields, T.StructField(into, result)]))
