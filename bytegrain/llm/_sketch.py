@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from bytegrain.llm._words import freed
+
 ROWS = 2
 CHUNK = 1 << 16  # bytes of a chunk
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -122,7 +124,7 @@ def may_repeat(source: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[n
 
     # collect() below: bounded by ROWS * 2**log2 / 8 bytes
     parts = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    merged = source.mapInArrow(count, _SCHEMA).repartition(parts, "chunk").mapInArrow(merge, _SCHEMA).select("chunk", "twice")
+    merged = source.mapInArrow(freed(count), _SCHEMA).repartition(parts, "chunk").mapInArrow(freed(merge), _SCHEMA).select("chunk", "twice")
     rows = [np.zeros(1 << log2 - 3, np.uint8) for _ in range(ROWS)]
     for chunk, twice in merged.collect():
         at = (chunk & 0xFFFFFFFF) * CHUNK

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bytegrain.llm._shared import bounded_batches
-from bytegrain.llm._words import Words, covered, texts
+from bytegrain.llm._words import Words, covered, freed, texts
 
 RESULT = "n_words long, n_hit long, items array<string>, spans array<struct<first: long, last: long>>, contaminated boolean"
 
@@ -167,7 +167,7 @@ def _with_struct(documents: DataFrame, text: str, windows: Broadcast, share: int
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], names=[*batch.schema.names, into])
 
     text_at = documents.columns.index(text)
-    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField(into, result)]))
+    return documents.mapInArrow(freed(run), T.StructType([*documents.schema.fields, T.StructField(into, result)]))
 
 
 def remove_spans(documents: DataFrame, *, text: str = "text", into: str = "contamination") -> DataFrame:

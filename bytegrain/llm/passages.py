@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from bytegrain.llm._shared import bounded_batches, estimated_bytes, stored
 from bytegrain.llm._sketch import Twice, log2_for, may_repeat, members
-from bytegrain.llm._words import U, Words, covered, mixed, texts
+from bytegrain.llm._words import U, Words, covered, freed, mixed, texts
 
 _ANCHOR_SEED, _STRETCH_SEED = 0x51ED2701, 0x7F4A7C15
 _PLACE = U((1 << 28) - 1)
@@ -101,7 +101,7 @@ def _several(documents: DataFrame, repeated, size: int, gram: int, log2: int) ->
                 some = repeated.value.may(s.anchor)
                 yield _batch(["anchor", "key"], _signed(s.anchor[some]), _signed(s.key[some]))
 
-    kinds = documents.select("text").mapInArrow(run, "anchor long, key long").groupBy("anchor").agg(F.min("key").alias("a"), F.max("key").alias("b"))
+    kinds = documents.select("text").mapInArrow(freed(run), "anchor long, key long").groupBy("anchor").agg(F.min("key").alias("a"), F.max("key").alias("b"))
     return members(kinds.where("a <> b"), "anchor", log2)
 
 
@@ -126,7 +126,7 @@ def _keyed(documents: DataFrame, repeated, several, size: int, gram: int) -> Dat
                     pa.array((first - s.words.words_at[doc]).astype(np.int32)), pa.array(np.concatenate((s.count[whole], np.ones(len(anchor), np.int64))).astype(np.int32)),
                 )
 
-    return documents.select("id", "text_key", "text").mapInArrow(run, schema)
+    return documents.select("id", "text_key", "text").mapInArrow(freed(run), schema)
 
 
 def _cut(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
@@ -174,4 +174,4 @@ def remove_passages(documents: DataFrame, *, id: str = "doc_id", text: str = "te
         for batch in batches:
             yield from _cut(batch, size)
 
-    return found.mapInArrow(run, "id long, n_words long, n_removed long, kept_text string")
+    return found.mapInArrow(freed(run), "id long, n_words long, n_removed long, kept_text string")

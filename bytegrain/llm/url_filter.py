@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bytegrain.llm._shared import bounded_batches
+from bytegrain.llm._words import freed
 
 # Verdict, host, path.
 RULES = [
@@ -114,7 +115,7 @@ def filter_urls(pages: DataFrame, model: Model, *, url: str = "url", rules: list
             found = pa.StructArray.from_arrays([pa.array(list(c), k) for c, k in zip(columns, [pa.string()] * 4 + [pa.float64()], strict=True)], names=result.names)
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, into])
 
-    return pages.mapInArrow(run, T.StructType([*pages.schema.fields, T.StructField(into, result)]))
+    return pages.mapInArrow(freed(run), T.StructType([*pages.schema.fields, T.StructField(into, result)]))
 
 
 def labelled_urls(spark) -> DataFrame:
