@@ -178,14 +178,15 @@ def join_cluster(sets: list[np.ndarray], pivots: int = 8, block: int = 256) -> l
         for i in todo[ball].tolist():
             union.join(p, i)
         open_[todo[ball]] = False
-        outside = distance[open_[todo]]
-        if not len(outside):
+        roots = np.array([union.find(i) for i in todo.tolist()])
+        other = roots != union.find(p)  # in no component of the pivot's: links to these may still be missing
+        if not other.any():
             todo = todo[:0]
             break
-        # a ball's set at distance d links to nothing outside that is farther than d + (1 - NUM / DEN) from the pivot
-        todo = todo[open_[todo] | (distance + (1 - NUM / DEN) + 1e-9 >= outside.min())]
+        # a set of the pivot's component at distance d links to nothing outside of it that is farther than d + (1 - NUM / DEN) from the pivot
+        todo = todo[other | (distance + (1 - NUM / DEN) + 1e-9 >= distance[other].min())]
         todo = todo[todo != p]
-    if len(todo) > 1 and open_[todo].any():
+    if len({union.find(i) for i in todo.tolist()}) > 1:
         _count_all(sets, size, todo, union, block)
     return [union.find(i) for i in range(len(sets))]
 

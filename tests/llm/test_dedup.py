@@ -238,6 +238,34 @@ def test_cluster_join_by_brute_force():
         assert join_cluster(sets, block=random.choice([4, 256])) == [find(i) for i in range(len(sets))]
 
 
+def test_cluster_join_of_overlapping_balls():
+    """Links between sets that are each in the ball of another pivot: chains of sliding windows, and families with bridges."""
+    flat = np.arange(5000, dtype=np.uint64)
+    starts = [10 * i for i in range(21)]
+    for first in range(21):
+        for second in range(21):
+            order = [starts[first], *([starts[second]] if second != first else []), *(x for i, x in enumerate(starts) if i not in (first, second))]
+            assert set(join_cluster([flat[x : x + 1000] for x in order])) == {0}
+    for _ in range(200):
+        order = [10 * i for i in range(random.randint(17, 60)) if random.random() < 0.9]
+        random.shuffle(order)
+        got = join_cluster([flat[x : x + random.choice([1000, 1000, 990])] for x in order])
+        assert len(set(got)) == 1
+    for _ in range(60):  # copies around far centres, joined by one bridge between two of them
+        left = [np.delete(flat[:1000], random.sample(range(1000), 40)) for _ in range(20)]
+        right = [np.delete(flat[110:1110], random.sample(range(1000), 30)) for _ in range(20)]
+        sets = [*left, *right, flat[55:1055]]
+        random.shuffle(sets)
+        plain = [set(x.tolist()) for x in sets]
+        up = list(range(len(sets)))
+        for i in range(len(sets)):
+            for j in range(i):
+                if up[i] != up[j] and 100 * len(plain[i] & plain[j]) >= 90 * len(plain[i] | plain[j]):
+                    a, b = sorted((up[i], up[j]))
+                    up = [a if x == b else x for x in up]
+        assert join_cluster(sets) == up
+
+
 def test_components(spark):
     edges = [(random.randrange(200), random.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)]
     up = {x: x for e in edges for x in e}
