@@ -107,6 +107,17 @@ def test_fit_meets_targets(spark):
     assert fit(table.limit(0), [1.0, 1.0, 1.0])[0] == []
 
 
+def test_fit_without_loss_meets_targets_however_far(spark):
+    """Domains far above their targets: the others grow until the shares are right, and no rate is under 1."""
+    share = np.array([0.87, 0.07, 0.06])
+    rows = [(1, 100, [float(d == i % 3) for d in range(3)]) for i in range(300)]
+    table = spark.createDataFrame(rows, "rows long, tokens long, p array<double>")
+    steps, reached = fit(table, share.tolist(), least_rate=1.0)
+    assert np.allclose(reached["totals"], share * 10_000 / 0.06, rtol=1e-4) and np.allclose(reached["targets"], reached["totals"], rtol=1e-4)
+    assert min(r["r"] for r in table.select(rate_column(steps, 3, 1.0).alias("r")).collect()) >= 1
+    assert corpus_pipeline.WEIGHTS == share.tolist()
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     kinds = ["good fine calm clear", "junk junk spam junk", "rude nasty vile rude"]
