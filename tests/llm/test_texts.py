@@ -240,3 +240,10 @@ def test_model_on_held_out_urls(spark):
     rest = [(*parts(u), y) for u, y in rows if not hashlib.sha256(u.encode()).digest()[0] % 4]
     m = Model(learn)
     assert sum((m.chance(h, p) >= 0.5) == y for h, p, y in rest) >= 0.95 * len(rest)
+
+
+def test_license_variants_of_usual_notices(spark):
+    """Notices that leave out or change a word of their template still give the method's label."""
+    rows = [(1, "under the terms of the Mozilla Public License, v. 2.0. If a copy"), (2, "the GNU Lesser General Public License v3 or later"), (4, "a public license for the public")]
+    got = {r["id"]: r["labels"].split(",") for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "mpl-2.0" in got[1] and "lgpl-3.0" in got[2] and got[4] == [""]
