@@ -15,6 +15,11 @@ Words are what lies between white space (space, tab to carriage return), unchang
    with map-side combining; a semi-join finds the repeated stretches and windows.
 3. The words they cover are cut from the texts, all judged on the input.
 
+Where the input is too large for a sketch (see `log2_for`), every anchor goes to the
+partition that owns its hash and is counted there; stretches of anchors with a single
+kind are then repeated as a whole, and only texts with anchors of several kinds are
+read again for their windows. Work and disk grow in proportion to the input.
+
 No step collects a group: a passage in a third of all documents is one counter.
 
 Defined results: a null or empty text has no words; a text of fewer than `size`
@@ -105,10 +110,12 @@ def _several(documents: DataFrame, repeated, size: int, gram: int, log2: int) ->
     return members(kinds.where("a <> b"), "anchor", log2)
 
 
+_KEYED = ["anchor", "key", "id", "text_key", "first", "windows"]
+_KEYED_DDL = "anchor long, key long, id long, text_key long, first int, windows int"
+
+
 def _keyed(documents: DataFrame, repeated, several, size: int, gram: int) -> DataFrame:
     """anchor, key, id, text_key, first (word in its document), windows: a row for each stretch or, where there are several kinds, for each window."""
-    schema = "anchor long, key long, id long, text_key long, first int, windows int"
-    names = ["anchor", "key", "id", "text_key", "first", "windows"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,11 +129,60 @@ def _keyed(documents: DataFrame, repeated, several, size: int, gram: int) -> Dat
                 doc = s.words.doc[first]
                 at = pa.array(doc + row)
                 yield _batch(
-                    names, _signed(np.concatenate((s.anchor[whole], anchor))), _signed(np.concatenate((s.key[whole], key))), batch.column(0).take(at), batch.column(1).take(at),
+                    _KEYED, _signed(np.concatenate((s.anchor[whole], anchor))), _signed(np.concatenate((s.key[whole], key))), batch.column(0).take(at), batch.column(1).take(at),
                     pa.array((first - s.words.words_at[doc]).astype(np.int32)), pa.array(np.concatenate((s.count[whole], np.ones(len(anchor), np.int64))).astype(np.int32)),
                 )
 
-    return documents.select("id", "text_key", "text").mapInArrow(freed(run), schema)
+    return documents.select("id", "text_key", "text").mapInArrow(freed(run), _KEYED_DDL)
+
+
+def _spans_by_sketch(documents: DataFrame, size: int, gram: int, log2: int) -> DataFrame:
+    """id, text_key, first, windows: the repeated windows, by a sketch that is broadcast."""
+    spark = documents.sparkSession
+    repeated = spark.sparkContext.broadcast(may_repeat(documents.select("text"), _anchor_keys(size, gram), log2))
+    several = spark.sparkContext.broadcast(_several(documents, repeated, size, gram, log2))
+    return _repeated(_keyed(documents, repeated, several, size, gram))
+
+
+def _repeated(keyed: DataFrame) -> DataFrame:
+    # stored, so that the join's two sides are plain shuffles and Spark can split a hot passage
+    again = stored(keyed.groupBy("anchor", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", "key"), "passages")
+    return keyed.join(again, ["anchor", "key"], "left_semi").select("id", "text_key", "first", "windows")
+
+
+def _spans_by_owner(documents: DataFrame, size: int, gram: int) -> DataFrame:
+    """The same, with each anchor counted in the partition that owns its hash."""
+    nothing = _Fixed(True), _Fixed(False)
+    stretches = stored(_keyed(documents, *nothing, size, gram), "passages-stretches")
+    kinds = stored(stretches.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("a"), F.max("key").alias("b")).where("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("several")), "passages-anchors")
+    known = stretches.join(kinds, "anchor")
+    apart = stored(known.where("several").groupBy("id", "text_key").agg(F.collect_set("first").alias("apart")), "passages-apart").alias("a")
+    d = documents.alias("d")
+    again = d.join(apart, F.col("d.id").eqNullSafe(F.col("a.id")) & (F.col("d.text_key") == F.col("a.text_key"))).select("d.id", "d.text_key", "d.text", "a.apart")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, data, offsets in texts(batch.column(2)):
+                s = Stretches(Words(data, offsets, "space", False), size, gram)
+                own = batch.column(3).slice(row, len(offsets) - 1)
+                at = np.repeat(s.words.words_at[:-1], np.asarray(own.value_lengths())) + np.asarray(own.flatten(), dtype=np.int64)
+                anchor, key, first = s.windows(np.flatnonzero(np.isin(s.first, at)))
+                doc = s.words.doc[first]
+                to = pa.array(doc + row)
+                yield _batch(_KEYED, _signed(anchor), _signed(key), batch.column(0).take(to), batch.column(1).take(to), pa.array((first - s.words.words_at[doc]).astype(np.int32)), pa.array(np.ones(len(first), np.int32)))
+
+    windows = again.mapInArrow(freed(run), _KEYED_DDL)
+    return known.where("not several").select("id", "text_key", "first", "windows").union(_repeated(windows))
+
+
+class _Fixed:
+    """In a sketch's and its broadcast's place: all keys may repeat, or none."""
+
+    def __init__(self, all_: bool):
+        self.all, self.value = all_, self
+
+    def may(self, keys: np.ndarray) -> np.ndarray:
+        return np.full(len(keys), self.all)
 
 
 def _cut(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
@@ -157,16 +213,11 @@ def remove_passages(documents: DataFrame, *, id: str = "doc_id", text: str = "te
     """One row per document: id, n_words, n_removed, kept_text (the words that stay, joined by single spaces). id is a long."""
     if not 1 <= gram <= size < 4096:
         raise ValueError("gram is 1 to size words, size under 4096")
-    spark = documents.sparkSession
-    bounded_batches(spark)
+    bounded_batches(documents.sparkSession)
     documents = documents.select(F.col(id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text).alias("text"))
     log2 = log2_for(estimated_bytes(documents) // 40)
-    repeated = spark.sparkContext.broadcast(may_repeat(documents.select("text"), _anchor_keys(size, gram), log2))
-    several = spark.sparkContext.broadcast(_several(documents, repeated, size, gram, log2))
-    keyed = _keyed(documents, repeated, several, size, gram)
-    # stored, so that the join's two sides are plain shuffles and Spark can split a hot passage
-    again = stored(keyed.groupBy("anchor", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", "key"), "passages")
-    spans = keyed.join(again, ["anchor", "key"], "left_semi").groupBy("id", "text_key").agg(F.collect_set(F.struct("first", "windows")).alias("spans")).alias("s")
+    repeated = _spans_by_owner(documents, size, gram) if log2 is None else _spans_by_sketch(documents, size, gram, log2)
+    spans = repeated.groupBy("id", "text_key").agg(F.collect_set(F.struct("first", "windows")).alias("spans")).alias("s")
     d = documents.alias("d")
     found = d.join(spans, F.col("d.id").eqNullSafe(F.col("s.id")) & (F.col("d.text_key") == F.col("s.text_key")), "left").select("d.id", "d.text", "s.spans")
 

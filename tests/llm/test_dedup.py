@@ -8,7 +8,7 @@ import pytest
 
 from bytegrain.llm.components import components
 from bytegrain.llm.exact_dedup import exact_dedup
-from bytegrain.llm.jaccard_join import Sets, jaccard_components, join_cluster, keep_one, region_keys
+from bytegrain.llm.jaccard_join import Rule, Sets, _split, jaccard_components, join_cluster, keep_one, region_keys
 from bytegrain.llm.passages import remove_passages
 
 DDL = "doc_id long, text string"
@@ -83,7 +83,12 @@ def check_passages(spark, rows, size=35, gram=8):
     assert sorted(got, key=repr) == removed(rows, size)
 
 
-def test_passages(spark):
+@pytest.mark.parametrize("most_log2", [28, 5])
+def test_passages(spark, monkeypatch, most_log2):
+    """With a sketch, and with one too small for the input."""
+    import bytegrain.llm._sketch as sketch
+
+    monkeypatch.setattr(sketch, "MOST_LOG2", most_log2)
     shared, line = prose(60), prose(20)
     rows = [(i, f"{prose(40)} {shared if i % 3 else line} {prose(30)}\n{line}") for i in range(20)]
     rows += [(50, shared), (51, "  " + shared + "\t"), (52, prose(34)), (53, "a " * 100), (54, None), (55, ""), (56, " \n "), (57, " ".join(shared.split()[5:45]) + " end"), (None, prose(50)), (None, shared), (58, "é ü " + shared + " ö")]
@@ -93,8 +98,12 @@ def test_passages(spark):
     check_passages(spark, rows, 4, 4)
 
 
-def test_passages_of_few_words(spark):
+@pytest.mark.parametrize("most_log2", [28, 5])
+def test_passages_of_few_words(spark, monkeypatch, most_log2):
     """A tiny vocabulary, so that anchors tie and stretches of many kinds share them."""
+    import bytegrain.llm._sketch as sketch
+
+    monkeypatch.setattr(sketch, "MOST_LOG2", most_log2)
     rows = [(i, " ".join(random.choice("ab") for _ in range(random.randrange(60)))) for i in range(25)]
     check_passages(spark, rows, 9, 4)
     check_passages(spark, rows, 5, 1)
@@ -106,6 +115,22 @@ def test_passages_of_nothing(spark):
         remove_passages(spark.createDataFrame([], DDL), gram=40)
 
 
+def test_share_of_unique_keys_that_pass(spark):
+    """Up to half a key a cell, where log2_for() ends, the sketch lets 15 % of the unique keys pass; keys that occur twice always pass."""
+    from bytegrain.llm._sketch import Sketch, Twice, log2_for
+
+    rng = np.random.default_rng(7)
+    for log2, keys in ((19, 1 << 16), (19, 1 << 18)):
+        unique, twice = np.split(rng.integers(0, 1 << 63, keys + 1000, dtype=np.uint64), [keys])
+        sketch = Sketch(log2)
+        for part in np.split(np.concatenate((unique, twice, twice)), 5 if (keys + 2000) % 5 == 0 else 1):
+            sketch.add(part)
+        got = Twice(log2, sketch.twice)
+        x = (keys + 1000) / (1 << log2)
+        assert got.may(twice).all() and got.may(unique).mean() < (1 - np.exp(-x)) ** 2 + 0.02
+    assert log2_for(1 << 27) == 28 and log2_for((1 << 27) + 1) is None
+
+
 # --- Jaccard -------------------------------------------------------------------------
 
 
@@ -114,8 +139,8 @@ def shingles(t, n=3):
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} - {()}
 
 
-def joined(rows):
-    sets = [shingles(t) for _, t in rows]
+def joined(rows, rule=Rule()):
+    sets = [shingles(t, rule.n) for _, t in rows]
     up = list(range(len(rows)))
 
     def find(x):
@@ -126,7 +151,7 @@ def joined(rows):
     for i in range(len(rows)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if sets[i] and 100 * both >= 90 * len(sets[i] | sets[j]):
+            if sets[i] and rule.den * both >= rule.num * len(sets[i] | sets[j]):
                 up[find(i)] = find(j)
     least = {}
     for i, (doc, _) in enumerate(rows):
@@ -154,22 +179,78 @@ def near():
     return out + [(None, rows[3]), (7, rows[3]), (7, rows[7])]
 
 
-@pytest.mark.parametrize("how", [{}, {"local": 300, "pivots": 3}])
+NEAR = Rule(5, 80, 100)
+
+
+@pytest.mark.parametrize("how", [{}, {"rule": NEAR}, {"rule": Rule(2, 7, 10)}, {"rule": Rule(3, 1, 1)}, {"local": 300, "pivots": 3}, {"rule": NEAR, "local": 2000, "most_sets": 9}])
 def test_jaccard(spark, near, how):
     got = [(r["id"], r["size"], r["component_id"]) for r in jaccard_components(frame(spark, near), **how).collect()]
+    assert sorted(got, key=repr) == joined(near, how.get("rule", Rule()))
+
+
+def test_keys_dealt_out_where_no_sketch_fits(spark, near, monkeypatch):
+    import bytegrain.llm._sketch as sketch
+
+    monkeypatch.setattr(sketch, "MOST_LOG2", 5)
+    assert sketch.log2_for(100) is None
+    got = [(r["id"], r["size"], r["component_id"]) for r in jaccard_components(frame(spark, near)).collect()]
     assert sorted(got, key=repr) == joined(near)
 
 
+def clustered(spark, sets):
+    """One cluster of the sets, as the split reads it."""
+    return spark.createDataFrame([(b"c", i.to_bytes(4, "big"), np.sort(s).view(np.int64).tolist()) for i, s in enumerate(sets)], "cluster binary, name binary, shingles array<long>")
+
+
+def test_unlike_sets_do_not_grow(spark):
+    """Sets that are at distance 1 from all pivots are dealt to one region, once."""
+    from bytegrain.llm._shared import Tables, stored
+
+    rng = np.random.default_rng(5)
+    rows = stored(clustered(spark, [np.unique(rng.integers(0, 1 << 63, 40, dtype=np.uint64)) for _ in range(300)]), "test")
+    links, rest = _split(rows, Rule(), 8, 0, Tables(spark))
+    assert links.count() == 0 and rest.count() == 300 - 8 and rest.select("cluster").distinct().count() == 1
+
+
+def test_a_large_cluster_of_small_sets_ends(spark):
+    """50,000 sets with common phrases: too many for one task, unlike but for chains of neighbours."""
+    from bytegrain.llm._shared import Tables, stored
+    from bytegrain.llm.jaccard_join import _cluster_links
+
+    rng = np.random.default_rng(6)
+    common = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
+    own = rng.integers(0, 1 << 63, (50_000, 16), dtype=np.uint64)
+    sets = [np.concatenate((common, own[i if i % 100 else i - 1 if i else 0][: 16 if i % 100 else 15])) for i in range(50_000)]
+    tables = Tables(spark)
+    links = _cluster_links(stored(clustered(spark, sets).repartition(4), "test"), Rule(), 8 << 20, 8192, 8, tables)
+    every = links[0]
+    for x in links[1:]:
+        every = every.union(x)
+    got = {r["node"]: r["component"] for r in components(every).collect()}
+    assert got == {i.to_bytes(4, "big"): (i - 1).to_bytes(4, "big") for j in range(100, 50_000, 100) for i in (j,)} | {(j - 1).to_bytes(4, "big"): (j - 1).to_bytes(4, "big") for j in range(100, 50_000, 100)}
+
+
+def test_small_sets_have_enough_slices():
+    """Sets of any size hardly ever lie in so few slices that they must be compared with all."""
+    from bytegrain.llm._words import texts
+    import pyarrow as pa
+
+    for rule in (Rule(), NEAR):
+        rows = [" ".join(f"{random.getrandbits(40):x}" for _ in range(n)) for n in range(rule.n, 120) for _ in range(300)]
+        ((_, data, offsets),) = texts(pa.array(rows), 1 << 30)
+        assert region_keys(Sets(data, offsets, rule.n), rule)[2].sum() <= 1
+
+
 def test_orphans_are_compared_with_all(spark, near, monkeypatch):
     """Sets whose shingles leave too many slices empty find their links by comparison: here all sets, with no region keys at all."""
     import bytegrain.llm.jaccard_join as j
 
     nodes = j._nodes
 
-    def orphaned(documents, n):
+    def orphaned(documents, rule, tables):
         from pyspark.sql import functions as F
 
-        return nodes(documents, n).withColumns({"orphan": F.col("name").isNotNull(), "keys": F.array().cast("array<long>")})
+        return nodes(documents, rule, tables).withColumns({"orphan": F.col("name").isNotNull(), "keys": F.array().cast("array<long>")})
 
     monkeypatch.setattr(j, "_nodes", orphaned)
     got = [(r["id"], r["size"], r["component_id"]) for r in jaccard_components(frame(spark, near[:120])).collect()]
@@ -181,7 +262,7 @@ def test_keep_one(spark, near):
     docs = spark.createDataFrame(rows, "doc_id long, text string, component string, key int")
     got = keep_one(docs)
     assert got.columns == docs.columns
-    want = joined(near)
+    want = joined(near, NEAR)
     assert sorted(r["doc_id"] for r in got.collect() if r["doc_id"] is not None) == sorted({i for i, _, c in want if i == c})
 
 
@@ -190,25 +271,26 @@ def test_jaccard_of_nothing(spark):
     assert [(r["id"], r["component_id"]) for r in jaccard_components(frame(spark, [(1, None), (2, ""), (3, "x y z")])).orderBy("id").collect()] == [(1, 1), (2, 2), (3, 3)]
 
 
-def test_linked_sets_share_a_region():
+@pytest.mark.parametrize("rule", [Rule(), NEAR, Rule(4, 7, 10)])
+def test_linked_sets_share_a_region(rule):
     """Every pair at the threshold shares a key, at all sizes."""
     from bytegrain.llm._words import texts
     import pyarrow as pa
 
-    for size in (9, 10, 12, 19, 30, 57, 120, 400, 1000):
+    for size in (5, 9, 10, 12, 19, 30, 57, 120, 400, 1000):
         for _ in range(20):
-            n = size + 2
+            n = size + rule.n - 1
             w = [f"{random.getrandbits(40):x}" for _ in range(n)]
-            cut = max(1, size // 19)
+            cut = max(1, int(size * (1 - rule.num / rule.den) / (1 + rule.num / rule.den)))
             rows = [" ".join(w), " ".join(w[cut:]), " ".join(w[: n - cut])]
             ((_, data, offsets),) = texts(pa.array(rows))
-            sets = Sets(data, offsets, 3)
-            keys, docs, orphan = region_keys(sets)
+            sets = Sets(data, offsets, rule.n)
+            keys, docs, orphan = region_keys(sets, rule)
             by = [set(keys[docs == i].tolist()) for i in range(3)]
             own = [set(sets.shingles[sets.ends[i] : sets.ends[i + 1]].tolist()) for i in range(3)]
             for a in range(3):
                 for b in range(a):
-                    if 100 * len(own[a] & own[b]) >= 90 * len(own[a] | own[b]) and not orphan[[a, b]].any():
+                    if rule.den * len(own[a] & own[b]) >= rule.num * len(own[a] | own[b]) and not orphan[[a, b]].any():
                         assert by[a] & by[b]
 
 
