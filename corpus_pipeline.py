@@ -6,6 +6,7 @@ columns of documents.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,10 +20,13 @@ from bytegrain.llm.mixing import mix, mixed_documents, quality_domains
 from bytegrain.llm.queries import held_out, tokenizer_path
 from bytegrain.llm.token_files import read_token_files, write_token_files
 
-#: A text whose n-gram list agrees less than this with every profile is in no learned language.
-LEAST_LANGUAGE_SCORE = 0.05
-#: Target shares of good, poor and toxic text. No rate is under 1: domains that are short get more copies, no document is lost.
+#: A text whose n-gram list agrees less than this with every profile is in no learned language. Of held-out documents 0.04 % score less
+#: (junk of one repeated word, capitals with marks between them, two languages in one text); the first percentile lies at 0.50 to 0.55.
+LEAST_LANGUAGE_SCORE = 0.40
+#: Target shares of good, poor and toxic text, at the tokens that there are: what is short is repeated, what is too much is thinned out by rates under 1.
 WEIGHTS = [0.87, 0.07, 0.06]
+#: Greatest miss of a target share that passes without a warning.
+CLOSE = 0.01
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +37,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates: five-word shingles, a similarity of 0.8 or more."""
     return keep_one(docs)
 
 
@@ -44,9 +48,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its rate tells, at the smallest total at which no domain shrinks."""
+    """Each document as often as its rate tells, for the target shares of the corpus's own tokens."""
     labels = quality_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    table, _ = mix(docs, labels, WEIGHTS, least_rate=1.0)
+    table, reached = mix(docs, labels, WEIGHTS)
+    missed = max(abs(a - b) for a, b in zip(reached["totals"], reached["targets"], strict=True)) / (sum(reached["targets"]) or 1)
+    if missed > CLOSE:
+        warnings.warn(f"mixing misses a target share by {missed:.3f}: {reached}", stacklevel=2)
     return mixed_documents(docs, table)
 
 
@@ -63,7 +70,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("tokens", tokens),
 ]
 
-#: Language ID, mixing and tokens can't be said in SQL; tests compare the stages with brute-force versions.
+#: Language ID, mixing and tokens can't be said in SQL; tests/llm/test_pipeline.py compares each stage with a brute-force version.
 ORACLE_SQL = None
 
 
