@@ -11,10 +11,10 @@ every step keeps all linked pairs together:
    between linked sets (s = num / den), so cut into k = t + 1 + e slices by hash, at
    least 1 + e slices hold the same shingles. In the metric of a slice the distinct
    contents are pivots, and the Voronoi region of radius 0 around each is an equality
-   group: the region's key is a hash of ring, slice and content. Contents of few
-   shingles are left out where at most e slices of the set have so few; a set with
-   more than e empty slices (nearly impossible, but counted) is compared with all
-   sets in blocks. A count-min sketch drops keys that occur once before anything is
+   group: the region's key is a hash of ring, slice and content. Linked sets share
+   1 + e regions less their empty slices, and sets that share fewer are not connected.
+   A set with more than e empty slices (nearly impossible, but counted) is compared
+   with all sets in blocks. A count-min sketch drops keys that occur once before anything is
    shuffled; where the input is too large for it, every key goes to the partition
    that owns its hash.
    (With documents as pivots on the whole space this step can't work: unrelated
@@ -74,11 +74,6 @@ class Rule:
         """The greatest distance of linked sets."""
         return 1 - self.num / self.den
 
-    @property
-    def tiny(self) -> int:
-        """Contents of so many shingles are left out where they can be: slices hold fewer the lower the similarity is."""
-        return 2 if 100 * self.num >= 85 * self.den else 1 if 100 * self.num >= 75 * self.den else 0
-
     def linked(self, intersection: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return self.den * intersection >= self.num * (a + b - intersection)
 
@@ -130,8 +125,8 @@ def _rings(rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         first.append(max(first[-1] + 1, first[-1] * 5 // 4, rule.den * (first[-1] - 1) // rule.num + 1))
     first = np.array(first)
     t = 2 * (first[1:] - 1) * (rule.den - rule.num) // (rule.den + rule.num)
-    # more slices where a small set might lie in too few of them
-    extra = np.where(t > 0, 4 + t // 12 if rule.tiny == 2 else np.where(t > 2, np.maximum(4 + t // 6, 12), 37), 0)
+    # more where slices are small: a set hardly ever lies in too few of them, and unlike sets hardly ever agree in so many
+    extra = np.where(t == 0, 0, 8 + t // 12 if rule.radius < 0.15 else np.where(t > 2, 12 + t // 4, 37))
     return first, t + 1 + extra, extra
 
 
@@ -140,14 +135,15 @@ def _reaches(size: np.ndarray, ring: np.ndarray, first: np.ndarray, rule: Rule)
     return rule.den * size >= rule.num * first[np.minimum(ring + 1, len(first) - 1)]
 
 
-def region_keys(sets: Sets, rule: Rule = Rule()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Region keys of all sets of a piece and the document of each; and which documents have too many empty slices."""
+def region_keys(sets: Sets, rule: Rule = Rule()) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
+    """For the own ring and for the next: region keys of all sets of a piece, the document of each, and how many of a document's keys each set linked to it has too. And which documents have too many empty slices."""
     first, slices, extras = _rings(rule)
     orphan = np.zeros(len(sets.size), bool)
-    keys, docs = [], []
+    out = []
     ring = np.searchsorted(first, sets.size, "right") - 1
     for next_ring in (0, 1):
         some = (sets.size > 0) & (_reaches(sets.size, ring, first, rule) if next_ring else True)
+        some &= extras[np.where(some, ring + next_ring, 0)] > 0  # no extra slices: only equal sets are linked, and these are one node
         r = np.where(some, ring + next_ring, 0)
         k = np.where(some, slices[r], 0)
         base = np.concatenate(([0], np.cumsum(k)))
@@ -158,13 +154,13 @@ def region_keys(sets: Sets, rule: Rule = Rule()) -> tuple[np.ndarray, np.ndarray
         content = np.zeros(base[-1], np.uint64)
         np.add.at(content, at, mixed(h ^ U(0xBB67AE85)))
         owner = np.repeat(np.arange(len(k)), k)
-        few = np.bincount(owner[count <= rule.tiny], minlength=len(k)) <= extras[r]
-        orphan |= some & (np.bincount(owner[count == 0], minlength=len(k)) > extras[r])
-        use = (count > rule.tiny) | ((count > 0) & ~few[owner])
+        empty = np.bincount(owner[count == 0], minlength=len(k))
+        orphan |= some & (empty > extras[r])
+        needed = np.maximum(1 + extras[r] - empty, 1)  # 1 + extra slices agree; empty ones may be among them
+        use = count > 0
         slot = (np.arange(base[-1]) - base[owner]).astype(np.uint64)
-        keys.append(mixed(content ^ mixed(r[owner].astype(np.uint64) << U(40) | slot))[use])
-        docs.append(owner[use])
-    return np.concatenate(keys), np.concatenate(docs), orphan
+        out.append((mixed(content ^ mixed(r[owner].astype(np.uint64) << U(40) | slot))[use], owner[use], needed))
+    return out, orphan
 
 
 # --- exact join of a cluster in memory -------------------------------------------
@@ -302,12 +298,12 @@ def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 
 def _nodes(documents: DataFrame, rule: Rule, tables: Tables) -> DataFrame:
-    """A stored row for each document: id, text_key, size, name, orphan, keys (of regions that may have a second member)."""
+    """A stored row for each document: id, text_key, size, name, orphan, and for both rings the keys that may have a second member with the number that a linked set shares (no keys where there are fewer)."""
     spark = documents.sparkSession
 
     def keys_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for _, sets in _pieces(batch, 0, rule.n):
-            yield region_keys(sets, rule)[0]
+            yield from (keys for keys, _, _ in region_keys(sets, rule)[0])
 
     # a key for each 40 stored bytes or so at a similarity of 0.9, twice as many at 0.8
     log2 = log2_for(int(estimated_bytes(documents) * rule.radius / 4))
@@ -316,15 +312,38 @@ def _nodes(documents: DataFrame, rule: Rule, tables: Tables) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, sets in _pieces(batch, 2, rule.n):
-                keys, docs, orphan = region_keys(sets, rule)
-                if often is not None:
-                    some = often.value.may(keys)
-                    keys, docs = keys[some], docs[some]
-                order = np.argsort(docs, kind="stable")
-                ends = np.searchsorted(docs[order], np.arange(len(sets.size) + 1))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets.size)), batch.column(1).slice(row, len(sets.size)), pa.array(sets.size), sets.names(), pa.array(orphan), _lists(keys[order], ends)], names=["id", "text_key", "size", "name", "orphan", "keys"])
-
-    return tables.stored(documents.select("id", "text_key", "text").mapInArrow(freed(run), "id long, text_key long, size long, name binary, orphan boolean, keys array<long>"), "jaccard-nodes")
+                found, orphan = region_keys(sets, rule)
+                n = len(sets.size)
+                columns = [batch.column(0).slice(row, n), batch.column(1).slice(row, n), pa.array(sets.size), sets.names(), pa.array(orphan)]
+                for keys, docs, needed in found:
+                    if often is not None:
+                        some = often.value.may(keys)
+                        keys, docs = keys[some], docs[some]
+                        some = np.bincount(docs, minlength=n)[docs] >= needed[docs]
+                        keys, docs = keys[some], docs[some]
+                    columns += [_lists(keys, np.searchsorted(docs, np.arange(n + 1))), pa.array(needed)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "text_key", "size", "name", "orphan", "own", "own_needed", "next", "next_needed"])
+
+    ddl = "id long, text_key long, size long, name binary, orphan boolean, own array<long>, own_needed long, next array<long>, next_needed long"
+    return tables.stored(documents.select("id", "text_key", "text").mapInArrow(freed(run), ddl), "jaccard-nodes")
+
+
+def _region_edges(nodes: DataFrame, tables: Tables) -> DataFrame:
+    """Edges (a, b) that connect all sets that share enough regions to be linked.
+
+    Linked sets share `needed` keys or more. With all keys in one order, the rarest
+    first, they then share one that is left when each set drops its needed - 1 last.
+    """
+    # each set once: copies of one may be a third of all rows
+    sets = tables.stored(nodes.where("size(own) + size(next) > 0").select("name", "own", "own_needed", "next", "next_needed").dropDuplicates(["name"]), "jaccard-keyed")
+    both = F.array(F.struct(F.col("own").alias("keys"), F.col("own_needed").alias("needed"), F.lit(0).alias("ring")), F.struct(F.col("next").alias("keys"), F.col("next_needed").alias("needed"), F.lit(1).alias("ring")))
+    keyed = sets.select("name", F.explode(both).alias("x")).select("name", "x.ring", "x.needed", F.explode("x.keys").alias("key"))
+    # stored, here and below, so that both sides of a join are plain shuffles and Spark can split a hot region
+    often = tables.stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "jaccard-often")
+    own = keyed.join(often, "key").groupBy("name", "ring", "needed").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("keys")).where(F.size("keys") >= F.col("needed"))
+    rarest = tables.stored(own.select("name", F.explode(F.slice("keys", 1, (F.size("keys") - F.col("needed") + 1).cast("int"))["key"]).alias("key")), "jaccard-rarest")
+    first = tables.stored(rarest.groupBy("key").agg(F.min("name").alias("first"), F.max("name").alias("last")).where("first <> last").select("key", "first"), "jaccard-first")
+    return rarest.join(first, "key").where("name <> first").select(F.col("name").alias("a"), F.col("first").alias("b"))
 
 
 def _named_sets(documents: DataFrame, names: DataFrame, n: int, log2: int | None) -> DataFrame:
@@ -475,11 +494,7 @@ def jaccard_components(documents: DataFrame, *, id: str = "doc_id", text: str =
     tables = Tables(spark)
     documents = documents.select(F.col(id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text).alias("text"))
     nodes = _nodes(documents, rule, tables)
-    regions = nodes.where(F.size("keys") > 0).select("name", F.explode("keys").alias("key"))
-    # stored, so that both sides of the join are plain shuffles and Spark can split a hot region
-    first = tables.stored(regions.groupBy("key").agg(F.min("name").alias("first"), F.max("name").alias("last")).where("first <> last").select("key", "first"), "jaccard-first")
-    edges = regions.distinct().join(first, "key").where("name <> first").select(F.col("name").alias("a"), F.col("first").alias("b"))
-    clusters = tables.stored(components(edges, tables).withColumnsRenamed({"node": "name", "component": "cluster"}), "jaccard-clusters")
+    clusters = tables.stored(components(_region_edges(nodes, tables), tables).withColumnsRenamed({"node": "name", "component": "cluster"}), "jaccard-clusters")
 
     sets = _named_sets(documents, clusters, rule.n, log2_for(estimated_bytes(documents) // 400))
     # copies of a set come from many tasks; the first of each is kept before its cluster is known
