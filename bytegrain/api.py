@@ -1,6 +1,7 @@
-"""The commands: create, explain, analyze, debug, compare, validate, harness.
+"""The commands: create, bench, explain, analyze, debug, compare, validate, harness.
 
     python -m bytegrain.api create  DIR OUT  [--level N --stored --layout L --prediction P --planning G --verify V --global-huffman --adaptive]
+    python -m bytegrain.api bench   DIR OUT  [--level N --prediction P --planning G --verify V]
     python -m bytegrain.api analyze DIR
     python -m bytegrain.api explain DIR [--no-run]
     python -m bytegrain.api debug   DIR
@@ -39,6 +40,12 @@ def create(spark: SparkSession, root: str, out: str, p: Profile = Profile()) ->
     return report | {"elapsed_ms": int((time.perf_counter() - t) * 1000)}
 
 
+def bench(spark: SparkSession, root: str, out: str, p: Profile = Profile()) -> str:
+    """A timed create in one line: bytes before and after, cores and milliseconds."""
+    report = create(spark, root, out, p)
+    return f"raw={report['uncompressed_bytes']} compressed={report['compressed_bytes']} cores={spark.sparkContext.defaultParallelism} ms={report['elapsed_ms']}"
+
+
 def analyze(spark: SparkSession, root: str, p: Profile = Profile()) -> tuple[DataFrame, DataFrame]:
     """Summary row and file rows."""
     rows = intel(from_tree(spark, root), p)
@@ -94,7 +101,7 @@ def profile_of(a: argparse.Namespace) -> Profile:
 
 def main(argv: list[str] | None = None) -> int:
     top = argparse.ArgumentParser(prog="bytegrain", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    top.add_argument("command", choices=["create", "analyze", "explain", "debug", "compare", "validate", "harness"])
+    top.add_argument("command", choices=["create", "bench", "analyze", "explain", "debug", "compare", "validate", "harness"])
     top.add_argument("path")
     top.add_argument("out", nargs="?")
     top.add_argument("--level", type=int, default=6)
@@ -114,6 +121,8 @@ def main(argv: list[str] | None = None) -> int:
 
     if a.command == "create":
         print(json.dumps(create(spark, a.path, f"file://{os.path.abspath(a.out)}", p)))
+    elif a.command == "bench":
+        print(bench(spark, a.path, f"file://{os.path.abspath(a.out)}", p))
     elif a.command in ("analyze", "explain"):
         for df in analyze(spark, a.path, p) if a.command == "analyze" else explain(from_tree(spark, a.path), p, not a.no_run):
             show(df)

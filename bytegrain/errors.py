@@ -39,5 +39,13 @@ class ArchiveConsistency(EngineError):
     pass
 
 
+class RepeatedName(EngineError):
+    pass
+
+
+class SharedFolderMissing(EngineError):
+    pass
+
+
 #: Errors after which an entry is tried again with a plainer method.
 RETRYABLE = (CompressionFailed, ArithmeticError, ValueError)

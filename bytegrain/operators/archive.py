@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from bytegrain.config import Profile
-from bytegrain.errors import ZipStructure
+from bytegrain.errors import RepeatedName, ZipStructure
 from bytegrain.functions import sql as S
 from bytegrain.operators.codec import Block, cut_blocks, encode_entry, is_adaptive, match_adaptively, match_block
 from bytegrain.operators.intel import archive_model, decide, signals
@@ -131,11 +131,13 @@ def encode_payloads(tokens: DataFrame, decided: DataFrame, p: Profile = Profile(
 
 
 def compress(entries: DataFrame, p: Profile = Profile(), trace: bool = False) -> DataFrame:
-    """logical_name, uncompressed_size, method, crc32, compressed_size, stored_effective, payload, trace: one row for each entry; names are unique."""
+    """logical_name, uncompressed_size, method, crc32, compressed_size, stored_effective, payload, trace: one row for each entry. Blocks meet by name, so a repeated (or null) name is refused."""
     measured = signals(entries, p)
     model = stored(archive_model(measured, p, shortcut=True))
     decided = decide(signals(entries, p, keep_content=True), model, p)
     plans = stored(decided.drop("content"))
+    if repeated := plans.groupBy("logical_name").count().where("count > 1 or logical_name is null").take(1):
+        raise RepeatedName(f"{repeated[0]['logical_name']} names {repeated[0]['count']} entries")
     done = encode_payloads(match_blocks(plan_blocks(decided, p), p), plans, p, trace)
     whole = entries.select("logical_name", "uncompressed_size", "content").join(done, "logical_name", "left")
     payload = F.coalesce("payload", "content")

@@ -248,12 +248,14 @@ def deflate_bytes(data: bytes, max_chain: int = 128, nice: int = 128) -> bytes:
 
 
 def inflate(data: bytes, size: int | None = None) -> bytes:
-    """Raw DEFLATE decoded; raises ValueError on a broken, cut or overlong stream."""
+    """Raw DEFLATE decoded; raises ValueError on a broken, cut or overlong stream. Not more than a byte over `size` is ever held."""
     d = zlib.decompressobj(-15)
     try:
-        out = d.decompress(data) + d.flush()
+        out = d.decompress(data, size + 1) if size is not None else d.decompress(data) + d.flush()
     except zlib.error as e:
         raise ValueError(f"inflate: {e}") from None
+    if size is not None and len(out) > size:
+        raise ValueError(f"inflate: more than the {size} bytes expected")
     if not d.eof or d.unused_data:
         raise ValueError("inflate: stream ends too early" if not d.eof else "inflate: data after the stream")
     if size is not None and len(out) != size:

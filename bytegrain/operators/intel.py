@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,51 @@ def signals(entries: DataFrame, p: Profile = Profile(), keep_content: bool = Fal
     return entries.mapInArrow(run, T.StructType([*kept, *fields]))
 
 
+def pattern_counts(entries: DataFrame, cap: int | None) -> DataFrame:
+    """pos, byte, n: how often each byte stands at each of the first `cap` positions (with None, anywhere: pos 0), counted in each task; rows are to be summed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, held, n = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            new, found = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.int64),) * 2
+            every, at = np.unique(np.concatenate((keys, new)), return_inverse=True)
+            return every, np.bincount(at, np.concatenate((counts, found)), len(every)).astype(np.int64)
+
+        for batch in batches:
+            for content in batch.column(0):
+                b = K.raw(content.as_buffer() or b"").astype(np.int64)
+                held.append(b if cap is None else (np.arange(min(cap, len(b))) << 8) | b[:cap])
+                n += len(held[-1])
+                if n >= 1 << 22:
+                    keys, counts = merged()
+                    held, n = [], 0
+        keys, counts = merged()
+        for at in range(0, len(keys), 1 << 16):
+            k = keys[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(k >> 8), pa.array(k & 255), pa.array(counts[at : at + (1 << 16)])], names=["pos", "byte", "n"])
+
+    return entries.select("content").mapInArrow(run, "pos long, byte long, n long")
+
+
+def prior_matches(entries: DataFrame, reach: int = 32768) -> DataFrame:
+    """logical_name, positions, buckets, matches, least_distance: an entry's 3-byte strings by bucket, and those with an earlier one of their bucket in reach. Content stays where it is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for content in batch.column(1):
+                keys = K.bucket(K.raw(content.as_buffer() or b""))
+                order = np.argsort(keys, kind="stable")
+                same = keys[order][1:] == keys[order][:-1]
+                distance = np.diff(order)[same]
+                rows.append((len(keys), len(keys) - int(same.sum()), int((distance <= reach).sum()), int(distance.min(initial=1 << 62)) if len(distance) else -1))
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=["logical_name", "positions", "buckets", "matches", "least_distance"])
+
+    return entries.select("logical_name", "content").mapInArrow(run, "logical_name string, positions long, buckets long, matches long, least_distance long")
+
+
 def archive_model(measured: DataFrame, p: Profile = Profile(), shortcut: bool = False) -> DataFrame:
     """One row: totals, byte classes, and the tuning that follows from them."""
     def total(c: str) -> Column:

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from bytegrain.errors import SharedFolderMissing
+
 
 def qualified(spark: SparkSession, path: str) -> str:
     """path with its file system, as Spark resolves it, in the form that other readers take too."""
@@ -16,9 +18,11 @@ def qualified(spark: SparkSession, path: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a local one is set only where none is named."""
+    """The folder in spark.checkpoint.dir, which all executors share; a local one is set only where none is named and the session runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise SharedFolderMissing("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="bytegrain-")
         spark.conf.set("spark.checkpoint.dir", found)
     return qualified(spark, found.rstrip("/"))

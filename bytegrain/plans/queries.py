@@ -10,13 +10,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from bytegrain.config import MODE_TABLE, MODES, PLANNING, Profile
 from bytegrain.functions import sql as S
 from bytegrain.operators import harness
 from bytegrain.operators.archive import block_trace, compress, local_offsets, plan_blocks, write_archives
 from bytegrain.operators.explain import as_json, explain, explain_files
-from bytegrain.operators.intel import archive_model, decide, intel, intel_summary, signals
+from bytegrain.operators.intel import archive_model, decide, intel, intel_summary, pattern_counts, prior_matches, signals
 from bytegrain.operators.layout import numbered
 from bytegrain.operators.stored import shared_folder, stored
 from bytegrain.operators.verify import read_archives, round_trip, verification_summary, verify_entries
@@ -43,8 +44,9 @@ def _intel_of(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def byte_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of every byte value over all documents, in SQL functions only."""
-    return entries(spark, sf_dir).select(F.explode(S.bytes_of(F.col("content"))).alias("byte")).groupBy("byte").agg(F.count(F.lit(1)).alias("n")).select(F.col("byte").cast("long").alias("byte"), "n", S.byte_class(F.col("byte")).alias("byte_class"))
+    """Counts of every byte value over all documents: 256 rows from each task are summed."""
+    counts = pattern_counts(entries(spark, sf_dir), None)
+    return counts.groupBy("byte").agg(F.sum("n").alias("n")).select("byte", "n", S.byte_class(F.col("byte")).alias("byte_class"))
 
 
 def byte_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,8 +83,8 @@ def _layout(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def top_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 32 most frequent (position, byte) pairs: a top-k report, ties by position and byte."""
-    pairs = entries(spark, sf_dir).select(F.posexplode(S.bytes_of(F.col("content"), Profile().sample_cap)).alias("pos", "byte")).groupBy("pos", "byte").agg(F.count(F.lit(1)).alias("n"))
-    return pairs.orderBy(F.desc("n"), "pos", "byte").limit(32).select(F.col("pos").cast("long").alias("pos"), F.col("byte").cast("long").alias("byte"), "n")
+    pairs = pattern_counts(entries(spark, sf_dir), Profile().sample_cap).groupBy("pos", "byte").agg(F.sum("n").alias("n"))
+    return pairs.orderBy(F.desc("n"), "pos", "byte").limit(32)
 
 
 def fixed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,17 +95,8 @@ def fixed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nearest_prior_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each document the buckets of its 3-byte strings, and how many positions have an earlier one of their bucket in reach: a self join by window, nearest first."""
-    from pyspark.sql.window import Window
-
-    b = S.bytes_of(F.col("content"))
-    keys = F.transform(F.sequence(F.lit(0), F.size("b") - 3), lambda i: F.col("b")[i + 1].bitwiseAND(F.lit(127)) * 256 + F.col("b")[i + 2])
-    rows = entries(spark, sf_dir).select("logical_name", b.alias("b")).where(F.size("b") >= 3).select("logical_name", F.posexplode(keys).alias("pos", "bucket"))
-    w = Window.partitionBy("logical_name", "bucket").orderBy("pos")
-    found = rows.withColumn("distance", F.col("pos") - F.lag("pos").over(w))
-    # counted by bucket first, so that the window's partitioning serves and one row a bucket is shuffled
-    by_bucket = found.groupBy("logical_name", "bucket").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("distance") <= 32768, 1)).alias("m"), F.min("distance").alias("least"))
-    return by_bucket.groupBy("logical_name").agg(F.sum("n").alias("positions"), F.count(F.lit(1)).alias("buckets"), F.sum("m").alias("matches"), F.coalesce(F.min("least"), F.lit(-1)).cast("long").alias("least_distance"))
+    """For each document the buckets of its 3-byte strings, and how many positions have an earlier one of their bucket in reach, nearest first."""
+    return prior_matches(entries(spark, sf_dir)).where("positions > 0")
 
 
 def header_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,12 +155,65 @@ def archive_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def verify_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents in four archives, verified strictly."""
+    """Documents in four archives of deflated entries, verified strictly."""
     folder = _folder(spark)
-    write_archives(compress(entries(spark, sf_dir), Profile(method="Stored")), folder, archives=4)
+    write_archives(compress(entries(spark, sf_dir)), folder, archives=4)
     return verification_summary(verify_entries(read_archives(spark, folder), strict=True))
 
 
+def bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of many blocks: the documents of 64 ids in a row, joined by line feeds."""
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null").select(F.floor(F.col("doc_id") / 64).cast("string").alias("bundle"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return from_table(docs.groupBy("bundle").agg(F.array_join(F.array_sort(F.collect_list(F.struct("doc_id", "text")))["text"], "\n").alias("text")), "bundle", "text")
+
+
+BUNDLE_PROFILES = {"default": Profile(), "adaptive": Profile(adaptive=True), "global_huffman": Profile(global_huffman=True), "both": Profile(adaptive=True, global_huffman=True), "fixed": Profile(strategy="Fixed", mode="Off"), "safe": Profile(planning="Safe", mode="Aggressive")}
+
+
+def bundles_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bundles compressed under each profile, written, read back, checked strictly and hashed."""
+    source, out = stored(bundles(spark, sf_dir)), None
+    for name, p in BUNDLE_PROFILES.items():
+        folder = _folder(spark)
+        write_archives(compress(source, p), folder, archives=2)
+        read = verify_entries(read_archives(spark, folder), strict=True, keep_content=True)
+        rows = read.select(F.lit(name).alias("profile"), F.col("name").alias("logical_name"), "ok", "uncompressed_size", (F.col("compressed_size") < F.col("uncompressed_size")).alias("smaller"), F.sha2("content", 256).alias("sha256"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def bundle_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bundles cut with their content looked at: blocks must lie one after another and cover the bundle."""
+    p = Profile(mode="Off")
+    whole = signals(bundles(spark, sf_dir), p, keep_content=True)
+    blocks = plan_blocks(decide(whole, archive_model(whole.drop("content"), p), p), p)
+    w = Window.partitionBy("logical_name").orderBy("block_id")  # a bundle's few blocks
+    placed = blocks.select("logical_name", "offset", "length", "blocks", (F.col("offset") - F.coalesce(F.lag(F.col("offset") + F.col("length")).over(w), F.lit(0))).alias("gap"), (F.col("length") > p.max_block).alias("over"))
+    return placed.groupBy("logical_name").agg(F.sum("length").alias("covered"), F.sum(F.abs("gap")).alias("gaps"), F.count(F.when(F.col("over"), 1)).alias("oversized"), F.bool_and(F.col("blocks") > 1).alias("several"))
+
+
+def bundle_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run told of bundles' blocks: their bytes add up, and no block has more tokens than bytes."""
+    t = block_trace(bundles(spark, sf_dir), Profile(adaptive=True))
+    return t.groupBy("logical_name").agg(F.sum("raw_bytes").alias("raw_bytes"), F.count(F.when(F.col("token_count") > F.col("raw_bytes"), 1)).alias("too_many_tokens"), F.count(F.when(F.abs(F.col("actual_ratio") * F.col("raw_bytes") - F.col("compressed_bytes")) > 1e-6, 1)).alias("wrong_ratios"))
+
+
+def explain_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The explanation of bundles after a run: the actual side beside the predicted one."""
+    files = explain(bundles(spark, sf_dir))[1]
+    length = F.aggregate("blocks", F.lit(0).cast("long"), lambda a, b: a + b["length"])
+    return files.select("name", "size", F.round("predicted_ratio", 9).alias("predicted_ratio"), "actual", ((F.col("actual_ratio") > 0) & (F.col("actual_ratio") < 1)).alias("smaller"), length.alias("explained_bytes"))
+
+
+def harness_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The comparison report over figures taken from order lines: orders are workloads, lines modes, and the order's own figures the stock codecs'."""
+    li = table(spark, sf_dir, "lineitem")
+    runs = li.select(F.col("l_orderkey").cast("string").alias("workload_id"), F.col("l_linenumber").cast("string").alias("mode_id"), F.lit(1 << 20).cast("long").alias("raw_bytes"), F.pmod(F.col("l_partkey") * 7919, F.lit(1 << 20)).cast("long").alias("compressed_bytes"), (F.col("l_suppkey") + 1).cast("double").alias("ms"))
+    best = harness.best_of_modes(runs)
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("workload_id"), F.lit(1 << 20).cast("long").alias("raw_bytes"), *(c for i, n in enumerate(("stock", "fast", "zip")) for c in (F.pmod(F.col("o_custkey") * (7919 + i), F.lit(1 << 20)).cast("long").alias(f"{n}_bytes"), F.pmod(F.col("o_custkey"), F.lit(17 + i)).cast("double").alias(f"{n}_ms"))))
+    return _nine(harness.winners(best, orders))
+
+
 def _folder(spark: SparkSession) -> str:
     import uuid
 
@@ -214,6 +260,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "verify_summary": verify_summary,
     "mode_table": mode_table,
     "stock_codecs": stock_codecs,
+    "bundles_round_trip": bundles_round_trip,
+    "bundle_blocks": bundle_blocks,
+    "bundle_trace": bundle_trace,
+    "explain_run": explain_run,
+    "harness_winners": harness_winners,
 }
 
 
@@ -225,10 +276,10 @@ def _payload_sql(name: str) -> str:
     return f"SELECT {' || chr(47) || '.join(f'CAST({k} AS VARCHAR)' for k in keys)} AS logical_name, hex(encode(coalesce({payload}, ''))) AS h FROM {name}"
 
 
-def _signals_sql(name: str) -> str:
+def _signals_sql(name: str, payload: str | None = None) -> str:
     """CTEs: e (entries), s (signals)."""
     return f"""
-e AS (SELECT logical_name, h, CAST(length(h) // 2 AS BIGINT) AS n FROM ({_payload_sql(name)})),
+e AS (SELECT logical_name, h, CAST(length(h) // 2 AS BIGINT) AS n FROM ({payload or _payload_sql(name)})),
 b AS (SELECT logical_name, n, i, CAST('0x' || y AS INTEGER) AS x FROM (SELECT logical_name, n, unnest(range(n)) AS i, unnest(regexp_extract_all(h, '..')) AS y FROM e)),
 l AS (SELECT *, lag(x) OVER w AS p, lag(x, 2) OVER w AS p2, lag(x, 3) OVER w AS p3 FROM b WINDOW w AS (PARTITION BY logical_name ORDER BY i)),
 f AS (SELECT logical_name, x, count(*) AS c FROM b WHERE i < 262144 GROUP BY ALL),
@@ -295,6 +346,32 @@ def _mode_sql() -> str:
     return f"SELECT CAST(ordinal AS INTEGER) AS ordinal, mode_id, prediction, verification, adaptive, global_huffman, planning FROM (VALUES {rows}) t(ordinal, mode_id, prediction, verification, adaptive, global_huffman, planning)"
 
 
+_BUNDLES = "SELECT CAST(doc_id // 64 AS VARCHAR) AS logical_name, string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id, coalesce(text, '')) AS content FROM documents WHERE doc_id IS NOT NULL GROUP BY 1"
+
+
+def crc32_sql(hexed: str) -> str:
+    """CRC-32 of bytes given in hexadecimal, as a fold over a table made by the polynomial's rule."""
+    entries_ = []
+    for x in range(256):
+        for _ in range(8):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        entries_.append(x)
+    tab = "[" + ", ".join(map(str, entries_)) + "]::BIGINT[]"
+    start = f"list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all({hexed}, '..'), lambda y: CAST('0x' || y AS BIGINT)))"
+    return f"xor(4294967295::BIGINT, list_reduce({start}, lambda c, b: xor(c >> 8, ({tab})[CAST(xor(c, b) & 255 AS INTEGER) + 1])))"
+
+
+def _winners_sql() -> str:
+    names = ("stock", "fast", "zip")
+    sizes = ", ".join(f"(o_custkey * {7919 + i}) % 1048576 / 1048576.0::DOUBLE AS r{i}, 1 / (greatest(o_custkey % {17 + i}, 1)::DOUBLE / 1000) AS m{i}" for i, _ in enumerate(names))
+    first = "CASE WHEN er <= r0 AND er <= r1 AND er <= r2 THEN 'engine' WHEN r0 <= r1 AND r0 <= r2 THEN 'stock' WHEN r1 <= r2 THEN 'stock_fast' ELSE 'stock_zip' END"
+    last = "CASE WHEN m2 >= m1 AND m2 >= m0 AND m2 >= em THEN 'stock_zip' WHEN m1 >= m0 AND m1 >= em THEN 'stock_fast' WHEN m0 >= em THEN 'stock' ELSE 'engine' END"
+    return f"""WITH b AS (SELECT CAST(l_orderkey AS VARCHAR) AS workload_id, min(((l_partkey * 7919) % 1048576) / 1048576.0::DOUBLE) AS er, max(1 / (greatest(l_suppkey + 1, 1)::DOUBLE / 1000)) AS em FROM lineitem GROUP BY 1),
+o AS (SELECT CAST(o_orderkey AS VARCHAR) AS workload_id, {sizes} FROM orders)
+SELECT workload_id, round(er, 9) AS engine_ratio, round(r0, 9) AS stock_ratio, round(r1, 9) AS stock_fast_ratio, round(r2, 9) AS stock_zip_ratio, {first} AS ratio_winner, round(em, 9) AS engine_mib_s, round(m0, 9) AS stock_mib_s, {last} AS speed_winner
+FROM b JOIN o USING (workload_id)"""
+
+
 _SIZED = "SELECT CAST(doc_id AS VARCHAR) AS logical_name, CAST(strlen(coalesce(text, '')) AS BIGINT) AS uncompressed_size FROM documents"
 
 ORACLE_SQL: dict[str, str] = {
@@ -335,4 +412,11 @@ SELECT logical_name AS name, uncompressed_size AS size, round(entropy_bits, 9) A
     "archive_round_trip": "SELECT CAST(item_id AS VARCHAR) AS logical_name, true AS matched, '' AS reason FROM benchmark",
     "verify_summary": "SELECT count(*) AS entries_verified, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS inflated_bytes, CAST(0 AS BIGINT) AS failures FROM documents",
     "mode_table": _mode_sql(),
+    "crc32_documents": f"SELECT logical_name, {crc32_sql('h')} AS crc32 FROM ({_payload_sql('documents')})",
+    "bundles_round_trip": f"SELECT profile, logical_name, true AS ok, CAST(strlen(content) AS BIGINT) AS uncompressed_size, true AS smaller, sha256(content) AS sha256 FROM ({_BUNDLES}), (VALUES {', '.join(f"('{n}')" for n in BUNDLE_PROFILES)}) t(profile)",
+    "bundle_blocks": f"SELECT logical_name, CAST(strlen(content) AS BIGINT) AS covered, CAST(0 AS BIGINT) AS gaps, CAST(0 AS BIGINT) AS oversized, strlen(content) > 65536 AS several FROM ({_BUNDLES})",
+    "bundle_trace": f"SELECT logical_name, CAST(strlen(content) AS BIGINT) AS raw_bytes, CAST(0 AS BIGINT) AS too_many_tokens, CAST(0 AS BIGINT) AS wrong_ratios FROM ({_BUNDLES})",
+    "explain_run": f"""WITH {_signals_sql("bundles", f"SELECT logical_name, hex(encode(content)) AS h FROM ({_BUNDLES})")}
+SELECT logical_name AS name, uncompressed_size AS size, round(CAST(least(greatest(entropy_bits / 8, 0.05), 1.2) AS DOUBLE), 9) AS predicted_ratio, 'deflate' AS actual, true AS smaller, uncompressed_size AS explained_bytes FROM s""",
+    "harness_winners": _winners_sql(),
 }

@@ -26,6 +26,12 @@ def test_create_and_validate(spark, top, capsys):
     assert api.main(["validate", f"{top}/out"]) == 1
 
 
+def test_bench(spark, top, capsys):
+    assert api.main(["bench", f"{top}/in", f"{top}/out"]) == 0
+    told = dict(x.split("=") for x in capsys.readouterr().out.split())
+    assert told["raw"] == "8224" and int(told["compressed"]) < 8224 and int(told["cores"]) > 0 and int(told["ms"]) > 0
+
+
 def test_analyze_explain_debug(spark, top, capsys):
     api.main(["analyze", f"{top}/in"])
     rows = [json.loads(x) for x in capsys.readouterr().out.split("\n") if x]

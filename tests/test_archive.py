@@ -197,3 +197,24 @@ def test_corpus(tmp_path):
     write_manifest(str(tmp_path / "manifest.json"), manifest)
     assert json.loads((tmp_path / "manifest.json").read_text()) == manifest
     assert len(stock_zip({"a": b"x"})) > 100
+
+
+def test_repeated_names_are_refused(spark):
+    from bytegrain.errors import RepeatedName
+    from bytegrain.operators.archive import compress
+
+    for names in (["a", "a"], ["a", None]):
+        rows = spark.createDataFrame([(n, 300, bytearray(b"abc" * 100)) for n in names], "logical_name string, uncompressed_size long, content binary")
+        with pytest.raises(RepeatedName):
+            compress(rows)
+
+
+def test_inflate_holds_no_more_than_expected():
+    from bytegrain.operators.deflate import inflate, stock_deflate
+
+    packed = stock_deflate(b"x" * 5_000_000)
+    assert inflate(packed, 5_000_000) == b"x" * 5_000_000
+    for size in (0, 10, 4_999_999, 5_000_001):
+        with pytest.raises(ValueError):
+            inflate(packed, size)
+    assert inflate(stock_deflate(b""), 0) == b""
