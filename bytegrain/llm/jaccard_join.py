@@ -487,7 +487,7 @@ def _orphan_links(documents: DataFrame, nodes: DataFrame, rule: Rule, block: int
     return out
 
 
-def jaccard_components(documents: DataFrame, *, id: str = "doc_id", text: str = "text", rule: Rule = Rule(), local: int = 8 << 20, most_sets: int = 1 << 14, pivots: int = 8) -> DataFrame:
+def jaccard_components(documents: DataFrame, *, id: str = "doc_id", text: str = "text", rule: Rule = Rule(), local: int = 8 << 20, most_sets: int = 512, pivots: int = 8) -> DataFrame:
     """One row per document: id, text_key (a hash of the text), size (of its set), name (of its set, null if empty), component (a name, null if empty), component_id (the smallest id reachable by links). id is a long."""
     spark = documents.sparkSession
     bounded_batches(spark)
