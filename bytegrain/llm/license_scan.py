@@ -4,11 +4,13 @@ Every rolling word 2-gram of every text is joined by its hash to the positions o
 the same 2-gram in the licence templates (a broadcast table whose size is fixed by
 `TEMPLATES`), and the join's condition compares the words themselves. Each hit
 votes for the diagonal `word position - template position`, the place where the
-template would start. Votes of a diagonal are a bit mask of template positions, so
-one aggregate with map-side combining gathers them. A diagonal with all its votes
+template would start. Votes of a diagonal are bit masks of template positions, 64 in
+each, so templates may have any length and one aggregate with map-side combining
+gathers the votes. A diagonal with all its votes
 is the template's words standing consecutively: a verified span. Neighbouring
-diagonals (a word inserted or lost) are merged, and a merged span whose votes cover
-enough of its template gives the template's label.
+diagonals (a word inserted or lost) are merged, and a merged span gives its template's
+label if its votes cover enough of the template and one of them is for a 2-gram that
+no template of another label has.
 
 Only DataFrame functions run. Words are runs of ASCII digits, ASCII letters (A-Z
 lower-cased) and non-ASCII characters.
@@ -20,6 +22,8 @@ other columns are not read.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,6 +46,24 @@ TEMPLATES = [
     ("mozilla public license version 2 0", "mpl-2.0", False),
     ("released into the public domain", "public-domain", False),
 ]
+# The whole texts of short licences.
+FULL_TEXTS = [
+    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software,
+and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included
+in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR
+OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice
+and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER
+RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+PERFORMANCE OF THIS SOFTWARE."""),
+    ("bsd-2-clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions
+of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above
+copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""),
+]
+TEMPLATES += [(" ".join(re.findall("[a-z0-9]+", text.lower())), label, False) for label, text in FULL_TEXTS]
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -51,21 +73,30 @@ def word_list(text: Column) -> Column:
 
 
 def template_grams(spark: SparkSession, templates: list[tuple[str, str, bool]]) -> DataFrame:
-    """gram, first, second, template, at: the 2-grams of all templates."""
-    rows = [F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.lit(t).alias("template"), F.lit(i).alias("at")) for t, (phrase, _, _) in enumerate(templates) for w in [phrase.split()] for i, (a, b) in enumerate(zip(w, w[1:], strict=False))]
-    return spark.range(1).select(F.inline(F.array(*rows))).select(F.xxhash64("first", "second").alias("gram"), "first", "second", "template", "at")
+    """gram, first, second, template, at, own: the 2-grams of all templates; own ones are in no template of another label."""
+    labels: dict[tuple[str, str], set[str]] = {}
+    grams = []
+    for t, (phrase, label, _) in enumerate(templates):
+        w = phrase.split()
+        for i, pair in enumerate(zip(w, w[1:], strict=False)):
+            grams.append((*pair, t, i, label))
+            labels.setdefault(pair, set()).add(label)
+    rows = [(a, b, t, i, labels[a, b] == {label}) for a, b, t, i, label in grams]
+    told = spark.createDataFrame(rows, "first string, second string, template int, at int, own boolean")
+    return told.select(F.xxhash64("first", "second").alias("gram"), "first", "second", "template", "at", "own")
 
 
 def license_spans(documents: DataFrame, *, id: str = "doc_id", text: str = "text", templates: list[tuple[str, str, bool]] = TEMPLATES, neighbours: int = 2, cover: float = 0.6, least_votes: int = 3) -> DataFrame:
     """id, key (a hash of the text), template, label, base, first (word where it starts), score (votes a template position), exact: one row per verified span."""
     spark = documents.sparkSession
-    if any(not 2 <= len(p.split()) <= 64 for p, _, _ in templates):
-        raise ValueError("a template has 2 to 64 words")
+    if any(len(p.split()) < 2 or base and len(p.split()) > 65 for p, _, base in templates):
+        raise ValueError("a template has two words or more, a base phrase at most 65")
     words = documents.select(F.col(id).alias("id"), F.xxhash64(F.col(text)).alias("key"), word_list(F.col(text)).alias("words"))
     grams = words.select("id", "key", "words", F.posexplode("words").alias("pos", "word")).withColumn("next", F.get("words", F.col("pos") + 1)).select("id", "key", "pos", "word", "next", F.xxhash64("word", "next").alias("gram"))
     hits = grams.join(F.broadcast(template_grams(spark, templates)), "gram").where((F.col("word") == F.col("first")) & (F.col("next") == F.col("second")))
     # stored: both kinds of templates are judged from it, and the texts are cut into words once
-    diagonals = stored(hits.groupBy("id", "key", "template", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("votes")), "license-diagonals")
+    chunk = F.floor(F.col("at") / 64).cast("int")
+    diagonals = stored(hits.groupBy("id", "key", "template", (F.col("pos") - F.col("at")).alias("diagonal"), chunk.alias("chunk")).agg(F.bit_or(F.expr("shiftleft(1L, at % 64)")).alias("votes"), F.bool_or("own").alias("own")), "license-diagonals")
 
     size = F.element_at(F.array(*(F.lit(len(p.split()) - 1) for p, _, _ in templates)), F.col("template") + 1)
     label = F.element_at(F.array(*(F.lit(x) for _, x, _ in templates)), F.col("template") + 1)
@@ -77,9 +108,10 @@ def license_spans(documents: DataFrame, *, id: str = "doc_id", text: str = "text
     begins = (F.col("diagonal") - F.lag("diagonal").over(w) > neighbours).cast("int")
     merged = (
         told.where("not base").withColumn("begins", F.coalesce(begins, F.lit(1))).withColumn("span", F.sum("begins").over(w))
-        .groupBy("id", "key", "template", "span").agg(F.min("diagonal").alias("first"), F.bit_or("votes").alias("votes"), F.first("size").alias("size"))
-        .withColumn("score", F.bit_count("votes") / F.col("size"))
-        .where((F.col("score") >= cover) & (F.bit_count("votes") >= least_votes))
+        .groupBy("id", "key", "template", "span", "chunk").agg(F.max(F.struct(F.bit_count("votes").alias("votes"), (-F.col("diagonal")).alias("back"))).alias("best"), F.bit_or("votes").alias("votes"), F.bool_or("own").alias("own"), F.first("size").alias("size"))
+        .groupBy("id", "key", "template", "span").agg((-F.max("best")["back"]).alias("first"), F.sum(F.bit_count("votes")).alias("n"), F.bool_or("own").alias("own"), F.first("size").alias("size"))
+        .withColumn("score", F.col("n") / F.col("size"))
+        .where((F.col("score") >= cover) & (F.col("n") >= least_votes) & F.col("own"))
         .select("id", "key", "template", "first", "score", (F.col("score") == 1).alias("exact"))
     )
     return exact.unionByName(merged).select("id", "key", "template", label.alias("label"), base.alias("base"), "first", "score", "exact")

@@ -11,12 +11,13 @@ from bytegrain.llm.decontaminate import decontaminate
 from bytegrain.llm.exact_dedup import exact_dedup
 from bytegrain.llm.jaccard_join import jaccard_components
 from bytegrain.llm.language_id import identify, learn_profiles
-from bytegrain.llm.license_scan import license_scan
+from bytegrain.llm.license_scan import TEMPLATES, license_scan
 from bytegrain.llm.mixing import mix, quality_domains
 from bytegrain.llm.passages import remove_passages
 from bytegrain.llm.secret_scan import learn_formats, secret_spans
 from bytegrain.llm.token_files import read_token_files, write_token_files
-from bytegrain.llm.url_filter import filter_urls, labelled_urls, train
+from bytegrain.llm.url_filter import RULES, filter_urls, labelled_by_words, labelled_urls, train
+from bytegrain.plans.queries import crc32_sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,7 +52,7 @@ def op3_remove_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     f = F.col("url_filter")
-    return filter_urls(pages, train(labelled_urls(spark))).select("page_id", *(f[n].alias(n) for n in ("host", "path", "rule", "verdict", "score")))
+    return filter_urls(pages, train(labelled_urls(spark).unionByName(labelled_by_words(pages)))).select("page_id", *(f[n].alias(n) for n in ("host", "path", "rule", "verdict", "score")))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,6 +99,33 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(files).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+# --- parts of the results that SQL can say -----------------------------------------
+
+
+def mixing_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1's token counts, and that a document's posteriors add up to 1."""
+    p = sum(F.col(f"p_{n}") for n in ("good", "poor", "toxic"))
+    return op1_mixing(spark, sf_dir).select("doc_id", "tokens", (F.abs(p - 1) < 1e-6).alias("adds_up"), ((F.col("copies") == F.floor("rate")) | (F.col("copies") == F.floor("rate") + 1)).alias("copies_fit"))
+
+
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4's hosts, paths and rules, and the verdict where a rule gives it."""
+    return op4_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("rule_verdict"))
+
+
+def license_base_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def language_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8's held-out rows, and which texts have no language."""
+    return op8_language_id(spark, sf_dir).select("doc_id", "held_out", (F.col("lang_pred") == "und").alias("undetermined"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_secret_scan": op2_secret_scan,
@@ -109,12 +137,59 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_token_files": op10_token_files,
+    "mixing_tokens": mixing_tokens,
+    "secret_base_spans": secret_base_spans,
+    "url_rules": url_rules,
+    "license_base_phrases": license_base_phrases,
+    "language_folds": language_folds,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+_ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?"""
+_SECRETS = {"assign": (_ASSIGN + "[A-Za-z0-9+/_.=-]+", f"length(regexp_extract(m, '{_ASSIGN.replace("'", "''")}([A-Za-z0-9+/_.=-]+)', 1)) >= 8"), "access": ("AKIA[A-Z0-9]+", "length(m) >= 16"), "hex": ("[0-9a-f]+", "length(m) >= 32")}
+
+
+def _secret_sql() -> str:
+    """Matches of a kind in order, each placed after the pieces between them."""
+    parts = []
+    for order, (kind, (pattern, keep)) in enumerate(_SECRETS.items()):
+        quoted = pattern.replace("'", "''")
+        parts.append(f"""SELECT doc_id, '{kind}' AS kind, {order} AS ord, s, s + length(m) AS e FROM (
+  SELECT doc_id, m, CAST(sum(length(piece)) OVER w + coalesce(sum(length(m)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s
+  FROM (SELECT doc_id, unnest(range(len(found))) AS i, unnest(found) AS m, unnest(pieces[1:len(found)]) AS piece
+        FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{quoted}') AS found, regexp_split_to_array(coalesce(text, ''), '{quoted}') AS pieces FROM documents))
+  WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE {keep}""")
+    counts = ", ".join(f"CAST(count(*) FILTER (kind = '{k}') AS BIGINT) AS n_{k}" for k in _SECRETS)
+    return f"""WITH x AS ({" UNION ALL ".join(parts)}),
+g AS (SELECT doc_id, {counts}, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) AS told FROM x GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in _SECRETS)}, sha256(coalesce(told, '')) AS base_sha256 FROM documents d LEFT JOIN g USING (doc_id)"""
+
+
+def _rules_sql() -> str:
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
+    return rf"""WITH u AS (SELECT page_id, translate(regexp_extract(url, '://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+r(verdict, h, p) AS (VALUES {rules}),
+best AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS rule_verdict FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, rule_verdict FROM u LEFT JOIN best USING (page_id)"""
+
+
+def _base_licence_sql() -> str:
+    phrases = ", ".join(f"(['{"', '".join(p.split())}'], '{label}')" for p, label, base in TEMPLATES if base)
+    return f"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') AS w FROM documents),
+t(phrase, label) AS (VALUES {phrases}),
+h AS (SELECT doc_id, s - 1 AS s, label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS s FROM d), t WHERE w[s] = phrase[1] AND w[s:s + len(phrase) - 1] = phrase),
+g AS (SELECT doc_id, count(*) AS n, min(s) AS a, max(s) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM h GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, CAST(a AS BIGINT) AS first_word, CAST(b AS BIGINT) AS last_word, coalesce(labels, '') AS base_labels FROM d LEFT JOIN g USING (doc_id)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "mixing_tokens": r"SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS tokens, true AS adds_up, true AS copies_fit FROM documents",
+    "secret_base_spans": _secret_sql(),
+    "url_rules": _rules_sql(),
+    "license_base_phrases": _base_licence_sql(),
+    "language_folds": rf"SELECT doc_id, ({crc32_sql("hex(encode(CAST(doc_id AS VARCHAR)))")}) % 4 = 2 AS held_out, NOT regexp_matches(coalesce(text, ''), '\p{{L}}') AS undetermined FROM documents",
     "op3_remove_passages": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT doc_id, s, sha256(array_to_string(w[s:s + 34], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS s FROM d WHERE len(w) >= 35)),

@@ -6,11 +6,13 @@ character classes with frequencies; states whose outgoing distributions are
 compatible (Hoeffding bound, recursively) are merged, in the red-blue order of
 state merging; the result is a probabilistic automaton for each kind. Every
 candidate token of every text is scored by its log-likelihood a character under the
-best automaton against a character model of ordinary words from the same texts.
-Candidates above the threshold become spans of the automaton's kind.
+best automaton against a character model of ordinary tokens from the same texts
+(words, numbers and names alike). Candidates are all runs of eight or more characters
+of an assigned value's alphabet; those above the threshold become spans of the
+automaton's kind.
 
 Labels: the values found by the base patterns themselves in at most `most_labelled`
-texts (those with the smallest hashes), or any table given by the caller. This
+distinct texts (those with the smallest hashes), at most MOST_VALUES of each. This
 sample is a stated bound; the scan covers all texts.
 
 Defined results: a null or empty text has no spans; rows equal in text get equal
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -40,7 +43,11 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 BASE = ("assign", "access", "hex")
 #: An assignment can only be where one of these is, in lower case.
 _WORDS = ("passw", "secret", "token", "apikey", "api_key")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: The alphabet and the least length of an assigned value.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
+TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]+")
+#: At most so many values, and so many ordinary tokens, are taken from one labelled text.
+MOST_VALUES, MOST_WORDS = 64, 20
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -153,7 +160,7 @@ class Automaton:
 
 
 class Formats:
-    """An automaton for each kind, and a first-order character-class model of ordinary words."""
+    """An automaton for each kind, and a first-order character-class model of ordinary tokens."""
 
     UNSEEN = math.log(1e-3)
 
@@ -188,16 +195,19 @@ class Formats:
         return best
 
     def spans(self, text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-        """Candidates that are likely credentials and touch no base span. A candidate needs a digit and a letter: ordinary words have none of the one, numbers none of the other."""
+        """Candidates that are likely credentials and touch no base span."""
         if not self.kinds:
             return []
-        found = []
+        found, scored = [], {}
         for m in CANDIDATE.finditer(text):
+            if any(a < m.end() and m.start() < b for a, b, _ in base):
+                continue
             token = m[0]
-            if any(c.isdigit() for c in token) and any(c.isalpha() for c in token) and not any(a < m.end() and m.start() < b for a, b, _ in base):
-                score, kind = self.score(token)
-                if score >= self.least:
-                    found.append((m.start(), m.end(), f"like_{kind}"))
+            if token not in scored:
+                scored[token] = self.score(token)
+            score, kind = scored[token]
+            if score >= self.least:
+                found.append((m.start(), m.end(), f"like_{kind}"))
         return found
 
 
@@ -206,8 +216,15 @@ class Formats:
 RESULT = "base array<struct<start: long, end: long, kind: string>>, spans array<struct<start: long, end: long, kind: string>>"
 
 
-def learn_formats(documents: DataFrame, *, text: str = "text", most_labelled: int = 500, least: float = 1.5, alpha: float = 0.05) -> Formats:
-    """Formats from at most most_labelled texts with base spans, those with the smallest hashes."""
+def ordinary(text: str) -> list[str]:
+    """Tokens outside of base spans, those with the smallest hashes."""
+    base = base_spans(text)
+    found = {m[0] for m in TOKEN.finditer(text) if not any(a < m.end() and m.start() < b for a, b, _ in base)}
+    return sorted(found, key=lambda w: (zlib.crc32(w.encode()), w))[:MOST_WORDS]
+
+
+def learn_formats(documents: DataFrame, *, text: str = "text", most_labelled: int = 2000, least: float = 1.0, alpha: float = 0.05) -> Formats:
+    """Formats from at most most_labelled distinct texts with base spans, those with the smallest hashes."""
     bounded_batches(documents.sparkSession)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,14 +233,17 @@ def learn_formats(documents: DataFrame, *, text: str = "text", most_labelled: in
             for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if v := values(t):
                     order.append(key)
-                    words = sorted(w for w in set(t.split()) if w.isalpha() and w.isascii())[:5]
-                    found.append([{"kind": k, "value": x} for k, x in v] + [{"kind": "", "value": w} for w in words])
+                    found.append([{"kind": k, "value": x} for k, x in v[:MOST_VALUES]] + [{"kind": "", "value": w} for w in ordinary(t)])
             yield pa.RecordBatch.from_arrays([pa.array(order, pa.int64()), pa.array(found, pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())])))], names=["key", "found"])
 
     # the pattern is a cheap filter in the JVM for texts that may have a span
-    near = F.col(text).rlike(r"(?i)passw|secret|token|api_?key|AKIA|[0-9a-f]{32}")
-    rows = documents.select(F.xxhash64(text).alias("key"), F.col(text).alias("text")).where(near).mapInArrow(freed(label), "key long, found array<struct<kind: string, value: string>>")
-    got = [(x["kind"], x["value"]) for r in rows.orderBy("key", F.to_json("found")).limit(most_labelled).collect() for x in r["found"]]
+    near = documents.where(F.col(text).rlike(r"(?i)passw|secret|token|api_?key|AKIA|[0-9a-f]{32}")).select(F.xxhash64(text).alias("key"), F.col(text).alias("text"))
+    # a share of them by hash, four times as many as are wanted, so that what reaches the driver doesn't grow with the input
+    share = F.shiftrightunsigned("key", 11) / F.lit(float(1 << 53))
+    many = near.agg(F.approx_count_distinct("key")).first()[0]
+    some = near.where(share < 4.0 * most_labelled / max(many, 1)).dropDuplicates(["key"])
+    rows = some.mapInArrow(freed(label), "key long, found array<struct<kind: string, value: string>>")
+    got = [(x["kind"], x["value"]) for r in rows.orderBy("key").limit(most_labelled).collect() for x in r["found"]]
     return Formats([x for x in got if x[0]], sorted({v for k, v in got if not k}), least, alpha)
 
 

@@ -1,7 +1,7 @@
 """URL filter: fixed rules first, else logistic regression on hashed character n-grams of host and path.
 
-The model is trained from a small labelled URL table (at most `most_labelled` rows:
-those with the smallest hashes) and has a fixed number of weights, which are
+The model is trained from a small labelled URL table (at most `most_labelled` distinct
+rows: those with the smallest hashes), such as urls labelled by words in their hosts, and has a fixed number of weights, which are
 broadcast; every url is judged in one pass without a shuffle.
 
 Host: after the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased. Path:
@@ -88,9 +88,16 @@ class Model:
 
 
 def train(labelled: DataFrame, *, url: str = "url", label: str = "label", most_labelled: int = 5000, size: int = 1 << 16) -> Model:
-    """labelled: urls and labels (1 is block); rows with a null label are left out. Trained on the driver from at most most_labelled rows."""
-    rows = labelled.where(F.col(label).isNotNull()).select(F.col(url).alias("url"), F.col(label).cast("int").alias("label")).orderBy(F.xxhash64("url"), "url", "label").limit(most_labelled).collect()
-    return Model([(*parts(r["url"]), int(r["label"] > 0)) for r in rows], size)
+    """labelled: urls and labels (1 is block); rows with a null label are left out, and repeated ones count once. Trained on the driver from at most most_labelled rows, half of them of each label."""
+    rows = labelled.where(F.col(label).isNotNull()).select(F.col(url).alias("url"), (F.col(label) > 0).cast("int").alias("label"))
+    # a share by hash, twice as many as are wanted, so that what reaches the driver doesn't grow with the table
+    share = F.shiftrightunsigned(F.xxhash64("url"), 11) / F.lit(float(1 << 53))
+    many = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.approx_count_distinct("url").alias("n")).collect()}
+    chosen = []
+    for y in (0, 1):
+        some = rows.where((F.col("label") == y) & (share < float(most_labelled) / max(many.get(y, 1), 1))).distinct()
+        chosen += some.orderBy(F.xxhash64("url"), "url").limit(most_labelled // 2).collect()
+    return Model([(*parts(r["url"]), r["label"]) for r in chosen], size)
 
 
 RESULT = "host string, path string, rule string, verdict string, score double"
@@ -118,6 +125,20 @@ def filter_urls(pages: DataFrame, model: Model, *, url: str = "url", rules: list
     return pages.mapInArrow(freed(run), T.StructType([*pages.schema.fields, T.StructField(into, result)]))
 
 
+# Words in names of hosts that serve no text worth keeping.
+BAD_WORDS = ("ads", "adult", "bet", "bets", "casino", "click", "crack", "malware", "phish", "pills", "poker", "porn", "spam", "track", "tracker", "warez", "xxx")
+
+
+def labelled_by_words(pages: DataFrame, *, url: str = "url", words: tuple[str, ...] = BAD_WORDS) -> DataFrame:
+    """url, label: a url with one of the words in its host's name, as letters between other characters, is labelled block, another with a host allow.
+
+    The model learns n-grams of such names, paths and what goes with them, and judges hosts that spell them in other ways.
+    """
+    host = F.lower(F.regexp_extract(url, r"://([^/?#]*)", 1))
+    bad = F.arrays_overlap(F.split(host, "[^a-z]+"), F.array(*map(F.lit, words)))
+    return pages.where(host != "").select(F.col(url).alias("url"), bad.cast("int").alias("label"))
+
+
 def labelled_urls(spark) -> DataFrame:
     """A small labelled table: advertising, tracking, download and gambling addresses against articles and reference pages."""
     bad_hosts = ["ads.{0}.example.biz", "track{0}.example.click", "casino-{0}.example.win", "free-download{0}.example.top", "xxx{0}.example.cam", "pharma-{0}.example.shop"]

@@ -11,7 +11,7 @@ from bytegrain.llm.decontaminate import decontaminate, judged, remove_spans
 from bytegrain.llm.language_id import UNKNOWN, grams, identify, learn_profiles, ranked
 from bytegrain.llm.license_scan import TEMPLATES, license_scan, license_spans
 from bytegrain.llm.secret_scan import BASE, Automaton, Formats, base_spans, learn_formats, secret_spans, symbols
-from bytegrain.llm.url_filter import Model, filter_urls, labelled_urls, parts, rule_for, train
+from bytegrain.llm.url_filter import RULES, Model, filter_urls, labelled_by_words, labelled_urls, parts, rule_for, train
 
 DDL = "doc_id long, text string"
 random.seed(12)
@@ -104,7 +104,7 @@ def test_secret_scan(spark):
     def hexed(n):
         return "".join(random.choice("0123456789abcdef") for _ in range(n))
 
-    rows = [(i, f"{prose(20)} token = \"{hexed(40)}\" {prose(5)} password={hexed(18)} AKIA{''.join(random.choice('ABCDEFGHIJKLMNOP234567') for _ in range(16))}") for i in range(40)]
+    rows = [(i, f"{prose(20)} {random.randrange(10**12)} token = \"{hexed(40)}\" {prose(5)} password={hexed(18)} AKIA{''.join(random.choice('ABCDEFGHIJKLMNOP234567') for _ in range(16))}") for i in range(40)]
     rows += [(100, f"ö {prose(30)} {hexed(28)} {prose(3)}"), (101, prose(60)), (102, None), (103, ""), (104, "averyveryverylongwordwithoutdigits 1234567890123456789"), (None, rows[0][1])]
     docs = spark.createDataFrame(rows, DDL).repartition(3)
     formats = learn_formats(docs)
@@ -121,6 +121,28 @@ def test_secret_scan(spark):
     assert secret_spans(docs, nothing).count() == len(rows) and secret_spans(spark.createDataFrame([], DDL), nothing).count() == 0
 
 
+def test_precision_and_recall_on_held_out_tokens(spark):
+    """Credentials of the learned formats that no base pattern finds, among words, numbers, hosts and addresses."""
+    sf = "/root/testdata/sf0.01"
+    formats = learn_formats(spark.read.parquet(f"{sf}/documents.parquet"))
+
+    def some(n, letters):
+        return "".join(random.choice(letters) for _ in range(n))
+
+    secret = [some(random.randint(16, 31), "0123456789abcdef") for _ in range(300)]
+    plain = [some(16, "0123456789") for _ in range(100)] + prose(100, "abcdefghijklmnopqrstuvwxyz").split() + [some(12, "abcdefghijklmnop") for _ in range(100)] + [f"mail{i}.example.com" for i in range(50)] + [f"10.20.30.{i}" for i in range(50)] + ["INTRODUCTION", "well-known", "2024-01-31", "state-of-the-art"]
+    found = {t for t in secret + plain if formats.spans(t, [])}
+    hits = sum(t in found for t in secret)
+    assert hits >= 0.95 * len(secret) and hits >= 0.97 * len(found)
+
+
+def test_many_copies_do_not_fill_the_sample(spark):
+    one = f"token = {'0123456789abcdef' * 2}"
+    rows = [(i, one) for i in range(300)] + [(1000 + i, f"key AKIA{''.join(random.choice('ABCDEFGH234567') for _ in range(16))} {prose(5)}") for i in range(20)]
+    formats = learn_formats(spark.createDataFrame(rows, DDL), most_labelled=21)
+    assert {"access", "assign", "hex"} == {k for k, _, _ in formats.kinds}
+
+
 def test_automata_merge_states():
     sample = ["".join(random.choice("0123456789abcdef") for _ in range(24)) for _ in range(300)]
     a = Automaton([symbols(x) for x in sample])
@@ -154,15 +176,33 @@ def test_license_scan(spark):
 
 
 def test_licence_labels(spark):
-    texts = ["Licensed under the Apache License, Version 2.0.", "x licensed under the old apache license version 2 0 y", "Permission is hereby granted, free of charge, to any person obtaining a copy", "apache license", "the license version 2 is old"]
+    texts = ["Licensed under the Apache License, Version 2.0.", "x licensed under the old apache license version 2 0 y", "Permission is hereby granted, free of charge, to any person obtaining a copy", "apache license", "the license version 2 is old", "licensed under CC BY-SA 4.0", "This is licensed under the GNU General Public License, version 3"]
     got = {r["id"]: (r["labels"], r["score"]) for r in license_scan(spark.createDataFrame(list(enumerate(texts)), DDL)).collect()}
     assert got[0] == ("apache-2.0", 1.0) and got[2] == ("mit", 1.0) and got[3] == got[4] == ("", 0.0)
+    assert got[5][0] == "cc-by,cc-by-sa-4.0" and got[6][0] == "gpl,gpl-3.0"
     assert got[1][0] == "apache-2.0" and 0.75 <= got[1][1] < 1  # a word was put in: two neighbouring diagonals
     assert [(r["label"], r["first"], r["exact"]) for r in license_spans(spark.createDataFrame([(1, "a cc by")], DDL)).collect()] == [("cc-by", 1, True)]
     with pytest.raises(ValueError):
         license_spans(spark.createDataFrame([], DDL), templates=[("one", "x", True)])
 
 
+def test_whole_licence_texts(spark):
+    """Templates of any length: whole texts, with a changed holder, and cut to a half."""
+    from bytegrain.llm.license_scan import FULL_TEXTS
+
+    rows, want = [], {}
+    for i, (label, text) in enumerate(FULL_TEXTS):
+        w = text.split()
+        rows += [(3 * i, f"Copyright 2020 A. B.\n\n{text}\n"), (3 * i + 1, " ".join([*w[:40], "(changed", "words)", *w[42:]])), (3 * i + 2, " ".join(w[len(w) * 11 // 20 :]))]
+        want |= {3 * i: (label, True), 3 * i + 1: (label, True), 3 * i + 2: (label, False)}
+        assert len(words(text)) > 64
+    spans = license_spans(spark.createDataFrame(rows, DDL)).collect()
+    long_ = {len(words(t)) - 1 for _, t in FULL_TEXTS}
+    for i, (label, whole) in want.items():
+        best = [r for r in spans if r["id"] == i and r["label"] == label and len(TEMPLATES[r["template"]][0].split()) - 1 in long_]
+        assert bool(best) == whole and (i % 3 or best[0]["exact"] and best[0]["score"] == 1 and best[0]["first"] == 4), (i, best)
+
+
 # --- languages -----------------------------------------------------------------------
 
 
@@ -234,6 +274,35 @@ def test_filter(spark):
     assert filter_urls(spark.createDataFrame(rows, "page_id long, url string"), Model([])).count() == len(rows)
 
 
+def test_filter_by_brute_force(spark):
+    """Host, path, rule, verdict and chance of every page, url by url."""
+    import math
+    import zlib
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url")
+    model = train(labelled_urls(spark).unionByName(labelled_by_words(pages)))
+    for r in filter_urls(pages, model).collect():
+        head, mark, rest = r["url"].partition("://")
+        host = re.split("[/?#]", rest)[0] if mark else ""
+        path = re.split("[?#]", rest[len(host) :])[0]
+        host = host.translate(LOWER)
+        fits = sorted(((len(h + p), h + p, v) for v, h, p in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)), reverse=True)
+        grams = {zlib.crc32((m + s[i : i + n]).encode()) % model.size for m, s in (("h", f"^{host}$"), ("p", f"^{path}$")) for n in (3, 4) for i in range(max(1, len(s) - n + 1))}
+        chance = 1 / (1 + math.exp(-(sum(model.weights[g] for g in grams) / math.sqrt(len(grams)) + model.bias)))
+        f = r["url_filter"]
+        assert (f["host"], f["path"], f["rule"]) == (host, path, fits[0][1] if fits else None) and abs(f["score"] - chance) < 1e-9
+        assert f["verdict"] == (fits[0][2] if fits else "block" if f["score"] >= 0.5 else "allow")
+
+
+def test_accuracy_on_held_out_pages(spark):
+    """Trained on three quarters of the pages and the fixed table, the model finds the labels of the rest."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    model = train(labelled_urls(spark).unionByName(labelled_by_words(pages.where("page_id % 4 <> 2"))))
+    rest = labelled_by_words(pages.where("page_id % 4 = 2")).collect()
+    got = [(r["label"], model.chance(*parts(r["url"])) >= 0.5) for r in rest]
+    assert sum(bool(y) == g for y, g in got) >= 0.98 * len(got) and sum(g for y, g in got if y) >= 0.95 * sum(y for y, _ in got)
+
+
 def test_model_on_held_out_urls(spark):
     rows = [(r["url"], r["label"]) for r in labelled_urls(spark).collect()]
     learn = [(*parts(u), y) for u, y in rows if hashlib.sha256(u.encode()).digest()[0] % 4]
