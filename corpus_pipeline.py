@@ -29,11 +29,19 @@ WEIGHTS = [0.87, 0.07, 0.06]
 CLOSE = 0.01
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """A column name that docs don't have, so that a stage's own column replaces none of theirs."""
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages that labelled documents teach."""
     profiles = learn_profiles(docs, learn=~F.coalesce(held_out(), F.lit(False)))
-    found = F.col("language")
-    return identify(docs, profiles).where((found["lang"] != UNKNOWN) & (found["score"] >= LEAST_LANGUAGE_SCORE)).drop("language")
+    into = _unused(docs, "language")
+    found = F.col(into)
+    return identify(docs, profiles, into=into).where((found["lang"] != UNKNOWN) & (found["score"] >= LEAST_LANGUAGE_SCORE)).drop(into)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +52,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the benchmark doesn't contaminate."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate(docs, benchmark).where(~F.col("contamination")["contaminated"]).drop("contamination")
+    into = _unused(docs, "contamination")
+    return decontaminate(docs, benchmark, into=into).where(~F.col(into)["contaminated"]).drop(into)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
