@@ -67,4 +67,4 @@ def test_sketch_never_loses_a_repeat(keys, parts):
 
 
 def test_sketch_width_is_bounded():
-    assert log2_for(0) == 19 and log2_for(10**15) == 28 and log2_for(1 << 20) == 23
+    assert log2_for(0) == 19 and log2_for(10**15) is None and log2_for(1 << 27) == 28 and log2_for(1 << 20) == 23
