@@ -23,7 +23,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 from bytegrain.config import Profile
 from bytegrain.errors import RepeatedName, ZipStructure
 from bytegrain.functions import sql as S
-from bytegrain.operators.codec import Block, cut_blocks, encode_entry, is_adaptive, match_adaptively, match_block
+from bytegrain.operators.codec import Block, cut_blocks, encode_entry, is_adaptive, match_adaptively, match_block, match_together
 from bytegrain.operators.intel import archive_model, decide, signals
 from bytegrain.operators.layout import layout_order, numbered
 from bytegrain.operators.lz import Tokens
@@ -97,10 +97,14 @@ def match_blocks(blocks: DataFrame, p: Profile = Profile()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                plan, model = _plan(row)
-                b = _block(row)
-                yield record_batch([_token_row(row["logical_name"], b, match_block(b, plan.chain(p, model), plan.nice(p, model)))], _TOKENS)
+            rows = batch.to_pylist()
+            plans = map(_plan, rows)
+            blocks = [(_block(r), plan.chain(p, model), plan.nice(p, model)) for r, (plan, model) in zip(rows, plans, strict=True)]
+            at = 0
+            for found in match_together(blocks):
+                some = range(at, at + len(found))
+                yield record_batch([_token_row(rows[i]["logical_name"], blocks[i][0], t) for i, t in zip(some, found, strict=True)], _TOKENS)
+                at += len(found)
 
     def follow(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["block_id"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,7 +13,7 @@ from bytegrain.errors import RETRYABLE
 from bytegrain.functions.kernels import half_up, raw
 from bytegrain.operators.blocks import cut_entry
 from bytegrain.operators.deflate import encode_blocks, isolated_bytes
-from bytegrain.operators.lz import WINDOW, Tokens, indexed_positions, tokenize
+from bytegrain.operators.lz import WINDOW, Task, Tokens, indexed_positions, tokenize_all
 from bytegrain.operators.plan_entry import EntryPlan, Model, plan_entry
 
 
@@ -36,8 +37,28 @@ def cut_blocks(data: bytes, target: int, p: Profile, m: Model) -> list[Block]:
     return out
 
 
+def _task(b: Block, chain: int, nice: int) -> Task:
+    return Task(b.data, len(b.data) - b.length, chain, nice, np.frombuffer(b.indexed, bool) if b.indexed is not None else None)
+
+
 def match_block(b: Block, chain: int, nice: int) -> Tokens:
-    return tokenize(b.data, len(b.data) - b.length, chain, nice, np.frombuffer(b.indexed, bool) if b.indexed is not None else None)
+    return tokenize_all([_task(b, chain, nice)])[0]
+
+
+#: Bytes of blocks that are matched side by side; a larger block goes alone.
+TOGETHER = 1 << 18
+
+
+def match_together(blocks: list[tuple[Block, int, int]]) -> Iterator[list[Tokens]]:
+    """Tokens of blocks (with chain and nice) in order, a few blocks at a time: small ones share the cost of array operations."""
+    at = 0
+    while at < len(blocks):
+        end, size = at + 1, len(blocks[at][0].data)
+        while end < len(blocks) and size + len(blocks[end][0].data) <= TOGETHER:
+            size += len(blocks[end][0].data)
+            end += 1
+        yield tokenize_all([_task(*b) for b in blocks[at:end]])
+        at = end
 
 
 def match_adaptively(blocks: list[Block], chain: int, nice: int, predicted: float) -> list[Tokens]:

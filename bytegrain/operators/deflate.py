@@ -138,21 +138,23 @@ class Bits:
         self.values.append(values)
         self.widths.append(widths)
 
-    def array(self) -> np.ndarray:
-        """The stream as one 0 or 1 a bit."""
-        values, widths = np.concatenate(self.values), np.concatenate(self.widths)
-        ends = np.cumsum(widths)
-        out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
-        begins = ends - widths
-        for k in range(int(widths.max(initial=0))):
-            some = widths > k
-            out[begins[some] + k] = (values[some] >> k) & 1
-        return out
+    def __len__(self) -> int:
+        return sum(int(w.sum()) for w in self.widths)
 
 
-def packed(*streams: np.ndarray) -> bytes:
-    """Streams joined bit by bit, with no padding between them."""
-    return np.packbits(np.concatenate(streams), bitorder="little").tobytes()
+def packed(*streams: Bits) -> bytes:
+    """Streams joined bit by bit, with no padding between them. Values have at most 31 bits and fit their widths."""
+    values, widths = np.concatenate([x for s in streams for x in s.values]), np.concatenate([x for s in streams for x in s.widths])
+    some = widths > 0
+    values, widths = values[some].astype(np.uint64), widths[some]
+    ends = np.cumsum(widths)
+    size = int(ends[-1]) if len(ends) else 0
+    begins = ends - widths
+    # a value starts in one 32-bit word and may reach into the next; values have no bit in common, so words are sums
+    placed = values << (begins & 31).astype(np.uint64)
+    word, words = begins >> 5, (size >> 5) + 2
+    out = np.bincount(word, (placed & np.uint64(0xFFFFFFFF)).astype(float), words) + np.bincount(word + 1, (placed >> np.uint64(32)).astype(float), words)
+    return out.astype("<u4").tobytes()[: -(-size // 8)]
 
 
 def _run_lengths(lengths: list[int]) -> list[tuple[int, int, int]]:
@@ -205,21 +207,21 @@ def _body(bits: Bits, tokens: Tokens, code: Code, end: bool = True) -> None:
         bits.put((int(literal_codes[END]), int(code.literal[END])))
 
 
-def dynamic_block(tokens: Tokens, final: bool, code: Code | None = None) -> np.ndarray:
+def dynamic_block(tokens: Tokens, final: bool, code: Code | None = None) -> Bits:
     bits = Bits()
     code = code or build_code(*frequencies(tokens))
     _header(bits, code, final)
     _body(bits, tokens, code)
-    return bits.array()
+    return bits
 
 
-def fixed_block(tokens: list[Tokens], final: bool = True) -> np.ndarray:
+def fixed_block(tokens: list[Tokens], final: bool = True) -> Bits:
     """One block of all token lists."""
     bits = Bits()
     bits.put((int(final) | 2, 3))
     for i, t in enumerate(tokens):
         _body(bits, t, fixed_code(), end=i + 1 == len(tokens))
-    return bits.array()
+    return bits
 
 
 def encode_blocks(blocks: list[Tokens], strategy: str = "Default", global_huffman: bool = False) -> bytes:

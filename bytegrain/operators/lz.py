@@ -2,13 +2,14 @@
 
 All positions before the current one are candidates as soon as they are passed, so
 the chain of a position (earlier positions with the same bucket, latest first) and
-its best match do not depend on how the block is parsed. Chains come from one sort;
-best matches of all positions are found together, a chain step at a time, comparing
-eight bytes at once; the parse is then a walk over arrays.
+its best match do not depend on how the block is parsed. One sort lays all chains
+out side by side; best matches of all positions are found together, a chain step at
+a time, comparing eight bytes at once; the parse is then a walk over arrays.
 """
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,101 +46,187 @@ def indexed_positions(data: np.ndarray, stride: int) -> np.ndarray:
     return held
 
 
-def _chain(keys: np.ndarray, member: np.ndarray | None = None) -> np.ndarray:
-    """For each position the latest earlier one (of the members) with the same key, or -1."""
-    order = np.argsort(keys, kind="stable")
-    at = np.where(member[order], order, -1) if member is not None else order
-    same = np.concatenate(([False], keys[order][1:] == keys[order][:-1]))
-    # positions grow inside a group, so the latest member so far is a running maximum of values shifted by group
-    shift = (np.cumsum(~same) - 1) * (len(keys) + 1)
-    best = np.maximum.accumulate(np.where(at >= 0, at + 1, 0) + shift) - shift
-    out = np.empty(len(keys), np.int64)
-    out[order] = np.where(same, np.concatenate(([0], best[:-1])), 0) - 1
-    return out
+@dataclass
+class Candidates:
+    """Positions grouped by their three bytes, in order inside a group.
+
+    A bucket has positions of several groups. Only those of a position's own group can
+    match, but all of its bucket count as tried: rank tells how many there are before.
+    """
+
+    order: np.ndarray  # all positions, grouped
+    positions: np.ndarray  # those that may be matched, grouped
+    before: np.ndarray  # for each position how many of `positions` lie before it,
+    own: np.ndarray  # how many of these are in its group,
+    rank: np.ndarray  # and how many in its bucket
+    adjacent: np.ndarray  # whether the position just before is the latest of its bucket
+
+
+def _passed(order: np.ndarray, new: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each position of groups in order (new: where one begins): how many held ones lie before it, in all and in its group."""
+    passed = np.cumsum(held) - held
+    before, own = np.empty((2, len(order)), np.int64)
+    before[order] = passed
+    own[order] = passed - passed[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    return before, own
+
+
+def _grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in groups of equal keys (of 16 bits), in order inside a group; and where one begins."""
+    order = np.argsort(keys[0], kind="stable")
+    for k in keys[1:]:
+        order = order[np.argsort(k[order], kind="stable")]
+    new = np.ones(len(order), bool)
+    new[1:] = False
+    for k in keys:
+        k = k[order]
+        new[1:] |= k[1:] != k[:-1]
+    return order, new
+
+
+def _candidates(data: np.ndarray, block: np.ndarray, member: np.ndarray) -> Candidates:
+    """Candidates (of the members, in its own block) for all positions but the last two."""
+    keys, rest, block = bucket(data).astype(np.uint16), data[:-2] | (data[1:-1] >> 7).astype(np.uint16) << 8, block[: len(data) - 2]
+    many = [block] if len(block) and block[-1] else []
+    order, new = _grouped(keys, *many)
+    _, rank = _passed(order, new, member[order])
+    order, new = _grouped(rest, keys, *many)
+    held = member[order]
+    before, own = _passed(order, new, held)
+    return Candidates(order, order[held], before, own, rank, np.concatenate(([False], member[:-1] & (keys[1:] == keys[:-1]))))
 
 
 def _eights(data: np.ndarray) -> np.ndarray:
     """The eight bytes from each position as a number, the first byte lowest."""
-    padded = np.concatenate((data, np.zeros(8, np.uint8))).astype(np.uint64)
-    out = np.zeros(len(data) + 1, np.uint64)
-    for k in range(8):
-        out |= padded[k : k + len(data) + 1] << np.uint64(8 * k)
-    return out
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,)).astype(np.uint64)
+
+
+def _first_difference(x: np.ndarray) -> np.ndarray:
+    """Equal bytes before the first that differs, of numbers of eight bytes that aren't 0."""
+    return np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)).astype(np.int64) >> 3
 
 
 def _common(eights: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
     """Equal bytes from a and from b, up to most."""
-    out, live, done = most.copy(), np.arange(len(a)), 0
-    while len(live):
-        x = eights[a[live] + done] ^ eights[b[live] + done]
-        differ = x != 0
-        low = x[differ]
-        out[live[differ]] = done + (np.bitwise_count((low & (~low + np.uint64(1))) - np.uint64(1)).astype(np.int64) >> 3)
-        done += 8
-        live = live[~differ]
-        live = live[most[live] > done]
-    return np.minimum(out, most)
-
-
-def _best(data: np.ndarray, eights: np.ndarray, chain: np.ndarray, at: np.ndarray, budget: int, enough: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the positions `at`: length and distance of the best match among `budget` candidates (the longest, the nearest of equals; 0 if none), and
-    its length if the position just before isn't a candidate yet and another may be tried instead."""
-    n, first = len(data), chain
-    length, distance = np.full(len(chain), SHORTEST - 1), np.zeros(len(chain), np.int64)
-    frozen = None
-    cand = chain[at]
-    live = (cand >= 0) & (at - cand <= WINDOW)
-    at, cand = at[live], cand[live]
-    for step in range(budget + 1):
-        if step == budget:
-            # a match at distance 1 has one byte, so leaving that candidate out only makes room for one more
-            frozen = length.copy(), distance.copy()
-            some = first[at] == at - 1
-            at, cand = at[some], cand[some]
-        if not len(at):
+    out, at = most.copy(), None
+    for done in range(0, LONGEST, 8):
+        x = eights[a + done] ^ eights[b + done]
+        differ = np.flatnonzero(x)
+        if len(differ):
+            out[differ if at is None else at[differ]] = done + _first_difference(x[differ])
+        more = np.flatnonzero((x == 0) & (most > done + 8))
+        if not len(more):
             break
-        apart = at - cand
-        room = np.minimum(LONGEST, n - at)
-        most, known = np.minimum(room, apart), length[at]
-        i = np.flatnonzero(most > known)
-        i = i[data[cand[i] + known[i]] == data[at[i] + known[i]]]
-        got = _common(eights, cand[i], at[i], most[i])
-        better = got > known[i]
-        i, got = i[better], got[better]
-        length[at[i]], distance[at[i]] = got, apart[i]
-        cand = chain[cand]
-        live = (length[at] < np.minimum(enough, room)) & (cand >= 0) & (at - cand <= WINDOW)
-        at, cand = at[live], cand[live]
-    ahead = np.where(distance > 0, length, 0)
-    length, distance = frozen or (length, distance)
-    return np.where(distance > 0, length, 0), distance, ahead
+        at = more if at is None else at[more]
+        a, b, most = a[more], b[more], most[more]
+    return out
 
 
-def tokenize(data: bytes, start: int, max_chain: int, nice: int, indexed: np.ndarray | None = None) -> Tokens:
-    """Tokens of data[start:]; what lies before start can be matched. indexed: which positions the index holds."""
-    raw = np.frombuffer(data, np.uint8)
-    keys = bucket(raw)
-    n, size = len(data), len(keys)
+#: By a known length (up to seven): the bytes that a longer match has in common, as bits of a number of eight bytes.
+_LONGER = np.array([(1 << 8 * (k + 1)) - 1 for k in range(8)], np.uint64)
+
+
+def _best(data: np.ndarray, eights: np.ndarray, room: np.ndarray, found: Candidates, wanted: np.ndarray, budget: np.ndarray, enough: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the wanted positions: length and distance of the best match among `budget` candidates (the longest, the nearest of equals; 0 if none), and
+    its length if the position just before isn't a candidate yet and another may be tried instead. room: the longest match that fits.
+
+    Positions are held grouped as the candidates are, so a step back in all chains reads one array nearly in
+    order, and a candidate that isn't better mostly fails on its first eight bytes.
+    """
+    length, distance = np.full(len(wanted), SHORTEST - 1), np.zeros(len(wanted), np.int64)
+    ahead = np.zeros(len(wanted), np.int64)
+    at = found.order[wanted[found.order] & (found.own[found.order] > 0)]
+    c, left = found.before[at] - 1, found.own[at]
+    others = eights[found.positions]
+    mine, longer = eights[at], np.full(len(at), _LONGER[SHORTEST - 1])
+    limit = np.minimum(enough[at], room[at])
+    # a match at distance 1 has one byte, so leaving that candidate out only makes room for one more
+    last = found.rank[at] - budget[at]
+    furthest = last - found.adjacent[at]
+    for step in itertools.count():
+        if step % 4 == 0 or step < 3:
+            b = found.positions.take(c, mode="clip")
+            keep = (left > step) & (length[at] < limit) & (at - b <= WINDOW) & (found.rank[b] >= furthest)
+            if not keep.all():
+                at, c, left, mine, longer, limit, last, furthest = (x[keep] for x in (at, c, left, mine, longer, limit, last, furthest))
+            if not len(at):
+                break
+        i = np.flatnonzero(((others.take(c, mode="clip") ^ mine) & longer) == 0)
+        if len(i):
+            a, b = at[i], found.positions.take(c[i], mode="clip")
+            apart, known, rank = a - b, length[a], found.rank[b]
+            most = np.minimum(room[a], apart)
+            may = (most > known) & (known < limit[i]) & (apart <= WINDOW) & (rank >= furthest[i])
+            may[may] = data[b[may] + known[may]] == data[a[may] + known[may]]
+            i, a, b, apart, known, most, rank = (x[may] for x in (i, a, b, apart, known, most, rank))
+            got = np.minimum(_common(eights, b, a, most), most)
+            better = got > known
+            i, a, apart, got = i[better], a[better], apart[better], got[better]
+            tried = rank[better] >= last[i]
+            ahead[a[~tried]] = got[~tried]
+            i, a, apart, got = i[tried], a[tried], apart[tried], got[tried]
+            length[a], distance[a] = got, apart
+            longer[i] = _LONGER[np.minimum(got, 7)]
+        c -= 1
+    length = np.where(distance > 0, length, 0)
+    return length, distance, np.maximum(length, ahead)
+
+
+@dataclass
+class Task:
+    """A block to match: data[start:], with what may be matched before it."""
+
+    data: bytes
+    start: int
+    max_chain: int
+    nice: int
+    indexed: np.ndarray | None = None  # which positions the index holds
+
+
+def tokenize_all(tasks: list[Task]) -> list[Tokens]:
+    """Tokens of each task's block. The blocks of a list are matched side by side, each within its own data."""
+    sizes = [len(t.data) for t in tasks]
+    ends = np.cumsum(sizes)
+    raw = np.frombuffer(b"".join(t.data for t in tasks), np.uint8)
+    n = len(raw)
+
+    def each(values: list) -> np.ndarray:
+        return np.repeat(np.array(values), sizes)
+
+    block, nice = each(range(len(tasks))).astype(np.uint16), each([t.nice for t in tasks])
+    room = np.minimum(LONGEST, each(ends) - np.arange(n))
     best, far, ahead, by_index = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64), np.zeros(n + 2, np.int64), np.zeros(n + 1, bool)
-    if size > start:
-        eights = _eights(raw)
-        at = np.arange(start, size)
-        best[:size], far[:size], ahead[:size] = _best(raw, eights, _chain(keys), at, max_chain, nice)
-        if indexed is not None:
-            at = at[best[at] < nice]
-            length, distance, _ = _best(raw, eights, _chain(keys, indexed[:size]), at, n, LONGEST + 1)
+    if n >= SHORTEST:
+        m, eights = n - 2, _eights(raw)
+        whole = room[:m] >= SHORTEST  # three bytes of its own block
+        wanted = whole & (np.arange(m) >= each([e - s + t.start for e, s, t in zip(ends, sizes, tasks, strict=True)])[:m])
+        best[:m], far[:m], ahead[:m] = _best(raw, eights, room, _candidates(raw, block, whole), wanted, each([t.max_chain for t in tasks]), nice)
+        if any(t.indexed is not None for t in tasks):
+            held = np.concatenate([t.indexed if t.indexed is not None else np.zeros(len(t.data), bool) for t in tasks])[:m]
+            length, distance, _ = _best(raw, eights, room, _candidates(raw, block, held & whole), wanted & (best[:m] < nice[:m]), np.full(n, n), np.full(n, LONGEST + 1))
             # the index wins ties
-            wins = (length > best[:size]) | ((length == best[:size]) & (length > 0) & (distance <= far[:size]))
-            best[:size][wins], far[:size][wins], by_index[:size] = length[wins], distance[wins], wins
+            wins = (length > best[:m]) | ((length == best[:m]) & (length > 0) & (distance <= far[:m]))
+            best[:m][wins], far[:m][wins], by_index[:m] = length[wins], distance[wins], wins
     # one step of look-ahead: a short match gives way to a longer one from the next position
-    waits = (best > 0) & (best < min(nice, LAZY_BELOW)) & (ahead[1:] > best)
-    step = np.where(waits | (best == 0), 1, best).tolist()
+    waits = np.zeros(n + 1, bool)
+    waits[:n] = (best[:n] > 0) & (best[:n] < np.minimum(nice, LAZY_BELOW)) & (ahead[1 : n + 1] > best[:n])
+    return [_parsed(raw, best, far, by_index, waits, int(end) - len(t.data) + t.start, int(end)) for end, t in zip(ends, tasks, strict=True)]
+
+
+def _parsed(raw: np.ndarray, best: np.ndarray, far: np.ndarray, by_index: np.ndarray, waits: np.ndarray, pos: int, end: int) -> Tokens:
+    first = pos
+    step = np.where(waits[pos:end] | (best[pos:end] == 0), 1, best[pos:end]).tolist()
     visited = []
-    pos = start
-    while pos < n:
+    while pos < end:
         visited.append(pos)
-        pos += step[pos]
+        pos += step[pos - first]
     v = np.array(visited, np.int64)
     match = (best[v] > 0) & ~waits[v]
     own = v[match]
-    return Tokens(np.where(match, best[v], 0).astype(np.uint16), np.where(match, far[v], raw[v] if n else 0).astype(np.uint16), int((~by_index[own]).sum()), int(by_index[own].sum()))
+    return Tokens(np.where(match, best[v], 0).astype(np.uint16), np.where(match, far[v], raw[v] if len(v) else 0).astype(np.uint16), int((~by_index[own]).sum()), int(by_index[own].sum()))
+
+
+def tokenize(data: bytes, start: int, max_chain: int, nice: int, indexed: np.ndarray | None = None) -> Tokens:
+    """Tokens of data[start:]; what lies before start can be matched. indexed: which positions the index holds."""
+    return tokenize_all([Task(data, start, max_chain, nice, indexed)])[0]

@@ -6,11 +6,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from bytegrain.config import MODE_TABLE, Profile
-from bytegrain.functions.kernels import class_counts
+from bytegrain.functions.kernels import bucket_hash, class_counts
 from bytegrain.operators.blocks import cut_entry
 from bytegrain.operators.codec import compress_entry
-from bytegrain.operators.deflate import build_code, deflate_bytes, distance_symbols, encode_blocks, inflate, length_symbols, limited_lengths, packed
-from bytegrain.operators.lz import Tokens, tokenize
+from bytegrain.operators.deflate import Bits, build_code, deflate_bytes, distance_symbols, encode_blocks, inflate, length_symbols, limited_lengths, packed
+from bytegrain.operators.lz import LAZY_BELOW, LONGEST, WINDOW, Task, Tokens, indexed_positions, tokenize, tokenize_all
 from bytegrain.operators.plan_entry import Model, model_of
 from bytegrain.sources.corpus import noise, recipes
 
@@ -60,6 +60,60 @@ def test_tokens_restore_the_data(parts, chain, nice):
     assert inflate(deflate_bytes(data, chain, nice)) == data
 
 
+def plain_tokens(data, start, chain, nice):
+    """A walk over the block that tries the latest `chain` positions of a bucket one by one."""
+    buckets = [bucket_hash(*data[i : i + 3]) for i in range(len(data) - 2)]
+
+    def search(at, passed):
+        best, far = 2, 0
+        if at >= len(buckets):
+            return 0, 0
+        room = min(LONGEST, len(data) - at)
+        for j in [j for j in range(passed - 1, -1, -1) if buckets[j] == buckets[at]][:chain]:
+            if at - j > WINDOW or best >= min(nice, room):
+                break
+            n = 0
+            while n < min(room, at - j) and data[j + n] == data[at + n]:
+                n += 1
+            if n > best:
+                best, far = n, at - j
+        return (best, far) if far else (0, 0)
+
+    out, at = [], start
+    while at < len(data):
+        n, far = search(at, at)
+        if n and (n >= min(nice, LAZY_BELOW) or search(at + 1, at)[0] <= n):
+            out.append((n, far))
+            at += n
+        else:
+            out.append((0, data[at]))
+            at += 1
+    return out
+
+
+def listed(t):
+    return list(zip(t.length.tolist(), t.value.tolist(), strict=True))
+
+
+_pieces = st.lists(st.sampled_from([b"a", b"b", b"ab", b"abc", b"\x80bc", b"zbc", b"abcabcd", b"the cat ", b"a\xe2c" * 5]), max_size=60).map(b"".join)
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.tuples(_pieces, st.integers(0, 30), st.sampled_from([1, 2, 3, 16, 200]), st.sampled_from([3, 5, 16, 258])), min_size=1, max_size=5))
+def test_blocks_side_by_side_match_as_a_plain_walk_does(rows):
+    rows = [(data, min(start, len(data)), chain, nice) for data, start, chain, nice in rows]
+    got = tokenize_all([Task(*r) for r in rows])
+    assert [listed(t) for t in got] == [plain_tokens(*r) for r in rows]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(_pieces, st.integers(1, 2), st.sampled_from([1, 4, 64]), st.booleans()), min_size=1, max_size=4))
+def test_indexed_blocks_side_by_side(rows):
+    tasks = [Task(data, 0, chain, 16, indexed_positions(np.frombuffer(data, np.uint8), stride) if index else None) for data, stride, chain, index in rows]
+    assert [(listed(t), t.from_window, t.from_index) for t in tokenize_all(tasks)] == [(listed(t), t.from_window, t.from_index) for x in tasks for t in tokenize_all([x])]
+    assert all(restored(t) == x.data for x, t in zip(tasks, tokenize_all(tasks), strict=True))
+
+
 def test_encoder_against_zlib():
     data = bytes(i % 251 for i in range(6000))
     assert zlib.decompress(deflate_bytes(data), -15) == data
@@ -72,7 +126,10 @@ def test_global_code_over_two_blocks():
 
 
 def test_bits_are_joined_without_padding():
-    assert packed(np.array([1, 0, 1], np.uint8), np.array([1], np.uint8)) == b"\x0d"
+    one, two = Bits(), Bits()
+    one.put((1, 1), (0, 0), (2, 2))
+    two.put((1, 1), (0x7FFFFFFF, 31), (0, 5), (1, 1))
+    assert packed(one) == b"\x05" and packed(one, two) == (5 | 1 << 3 | 0x7FFFFFFF << 4 | 1 << 40).to_bytes(6, "little")
 
 
 def test_one_distance_and_empty_stream():
