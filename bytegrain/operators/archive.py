@@ -8,6 +8,7 @@ blocks. Only a block's tokens are brought together by entry, for the entry's str
 
 from __future__ import annotations
 
+import itertools
 import struct
 import uuid
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 from bytegrain.config import Profile
 from bytegrain.errors import RepeatedName, ZipStructure
 from bytegrain.functions import sql as S
-from bytegrain.operators.codec import Block, cut_blocks, encode_entry, is_adaptive, match_adaptively, match_block, match_together
+from bytegrain.operators.codec import TOGETHER, Block, cut_blocks, encode_entry, is_adaptive, match_adaptively, match_block, match_together
 from bytegrain.operators.intel import archive_model, decide, signals
 from bytegrain.operators.layout import layout_order, numbered
 from bytegrain.operators.lz import Tokens
@@ -69,16 +70,22 @@ def plan_blocks(decided: DataFrame, p: Profile = Profile()) -> DataFrame:
     columns = decided.select("logical_name", *_DECIDED, "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
         for batch in batches:
-            for i in range(batch.num_rows):  # an entry at a time, so that a batch holds one entry's blocks
-                row = batch.slice(i, 1).to_pylist()[0]
+            contents = batch.column("content")
+            for row, content in zip(batch.drop_columns(["content"]).to_pylist(), contents, strict=True):
                 plan, model = _plan(row)
                 if plan.method(p) == "Stored":
                     continue
-                content = row.pop("content")
-                cut = cut_blocks(content, plan.target, p, model) or [Block(0, 0, 0, b"", None)]
+                cut = cut_blocks(content.as_py(), plan.target, p, model) or [Block(0, 0, 0, b"", None)]
                 for b in cut:
-                    yield record_batch([row | {"block_id": b.number, "offset": b.offset, "length": b.length, "blocks": len(cut), "data": b.data, "indexed": b.indexed}], _BLOCK)
+                    out.append(row | {"block_id": b.number, "offset": b.offset, "length": b.length, "blocks": len(cut), "data": b.data, "indexed": b.indexed})
+                    size += len(b.data)
+                    if size >= TOGETHER:
+                        yield record_batch(out, _BLOCK)
+                        out, size = [], 0
+        if out:
+            yield record_batch(out, _BLOCK)
 
     return columns.mapInArrow(run, spark_schema(_BLOCK))
 
@@ -121,17 +128,30 @@ def match_blocks(blocks: DataFrame, p: Profile = Profile()) -> DataFrame:
 
 def encode_payloads(tokens: DataFrame, decided: DataFrame, p: Profile = Profile(), trace: bool = False) -> DataFrame:
     """logical_name, method, payload (null if it is the content itself) and block trace of the compressed entries."""
-    rows = tokens.join(decided.select("logical_name", *_DECIDED), "logical_name")
+    # dealt out by name and sorted, so that one task reads an entry's blocks one after another; no task holds more than one entry and a batch
+    parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = tokens.repartition(parts, "logical_name").join(decided.select("logical_name", *_DECIDED), "logical_name").sortWithinPartitions("logical_name", "block_id")
 
-    def run(table: pa.Table) -> pa.Table:
-        found = sorted(table.to_pylist(), key=lambda r: r["block_id"])
+    def encoded(found: list[dict]) -> dict:
         plan, _ = _plan(found[0])
         cut = [Block(r["block_id"], r["offset"], r["length"], b"", None) for r in found]
         toks = [Tokens(np.frombuffer(r["tokens"], np.uint16), np.frombuffer(r["values"], np.uint16), r["from_window"], r["from_index"]) for r in found]
         e = encode_entry(bytes(sum(b.length for b in cut)) if trace else b"", cut, toks, plan, p, trace)
-        return pa.Table.from_batches([record_batch([{"logical_name": found[0]["logical_name"], "method": e.method, "payload": None if e.method == "Stored" else e.payload, "trace": e.trace}], _PAYLOAD)])
+        return {"logical_name": found[0]["logical_name"], "method": e.method, "payload": None if e.method == "Stored" else e.payload, "trace": e.trace}
 
-    return rows.groupBy("logical_name").applyInArrow(run, spark_schema(_PAYLOAD))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
+        each_row = (row for batch in batches for row in batch.to_pylist())
+        for _, blocks in itertools.groupby(each_row, key=lambda r: r["logical_name"]):
+            out.append(encoded(list(blocks)))
+            size += len(out[-1]["payload"] or b"")
+            if size >= TOGETHER:
+                yield record_batch(out, _PAYLOAD)
+                out, size = [], 0
+        if out:
+            yield record_batch(out, _PAYLOAD)
+
+    return rows.mapInArrow(run, spark_schema(_PAYLOAD))
 
 
 def compress(entries: DataFrame, p: Profile = Profile(), trace: bool = False) -> DataFrame:
