@@ -17,6 +17,7 @@ results, one row each.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bytegrain.llm._shared import bounded_batches
+from bytegrain.llm._shared import bounded_batches, stored
 from bytegrain.llm._words import Words, covered, freed, texts
 
 RESULT = "n_words long, n_hit long, items array<string>, spans array<struct<first: long, last: long>>, contaminated boolean"
@@ -109,15 +110,14 @@ def _found(column: pa.Array, windows: WindowSet, share: int) -> Iterator[tuple[i
             yield n, k, sorted(x for x in items.get(i, ()) if x is not None), spans, judged(n, k, share)
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, size: int, block_bytes: int) -> list[WindowSet]:
-    """The benchmark in blocks of bounded text, fetched a block at a time."""
+def _blocks(benchmark: DataFrame, item_id: str, text: str, size: int, block_bytes: int) -> Iterator[WindowSet]:
+    """The benchmark in blocks of bounded text, fetched a block at a time; at least one."""
     rows = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // block_bytes) or 1
-    if n == 1:
-        return [WindowSet([tuple(r) for r in rows.collect()], size)]
     part = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-    return [WindowSet([tuple(r) for r in rows.where(part == i).collect()], size) for i in range(n)]
+    for i in range(n):
+        yield WindowSet([tuple(r) for r in (rows.where(part == i) if n > 1 else rows).collect()], size)
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 13, share: int = 20, block_bytes: int = 8 << 20, into: str = "contamination") -> DataFrame:
@@ -130,30 +130,36 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, *, text: str = "te
     documents = documents.drop(into)
     blocks = _blocks(benchmark, item_id, item_text, size, block_bytes)
     result = T.StructType.fromDDL(RESULT)
-    if len(blocks) == 1:
-        return _with_struct(documents, text, spark.sparkContext.broadcast(blocks[0]), share, result, into)
-    # more blocks: each adds its hits to what earlier ones found; spans and items are merged at the end
-    from bytegrain.llm._shared import stored
-
-    out = documents
-    names = [f"_{into}_{i}" for i in range(len(blocks))]
-    for name, block in zip(names, blocks, strict=True):
-        out = stored(_with_struct(out, text, spark.sparkContext.broadcast(block), share, result, name), "decontaminate")
-    spans = F.array_sort(F.flatten(F.array(*(F.col(n)["spans"] for n in names))))
+    out = _with_struct(documents, text, spark.sparkContext.broadcast(next(blocks)), share, result, into)
+    # further blocks: what a text is hit by depends on the text alone, so only hits are stored, by a hash of the text, and joined at the end
+    whole = documents.select(F.sha2(F.col(text), 256).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    parts = []
+    for block in blocks:
+        found = _with_struct(whole, "text", spark.sparkContext.broadcast(block), share, result, "hit").where("hit.n_hit > 0").select("key", "hit.items", "hit.spans")
+        parts.append(stored(found.dropDuplicates(["key"]), "decontaminate"))
+    if not parts:
+        return out
+    # a text has at most one row a block here
+    more = stored(functools.reduce(DataFrame.union, parts).groupBy("key").agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans")), "decontaminate").alias("_m")
+    both = out.alias("_d").join(more, F.sha2(F.col(f"_d.`{text}`"), 256) == F.col("_m.key"), "left")
+    own = F.col(f"_d.`{into}`")
+    spans = F.array_sort(F.concat(own["spans"], F.coalesce("_m.spans", F.array().cast("array<struct<first:bigint,last:bigint>>"))))
     merged = F.aggregate(
         spans,
-        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"), F.array().cast("array<struct<first:bigint,last:bigint>>").alias("spans")),
-        lambda a, s: F.struct(
-            (a["n"] + F.greatest(s["last"] - F.greatest(s["first"], a["end"]), F.lit(0))).alias("n"),
-            F.greatest(a["end"], s["last"]).alias("end"),
-            F.when(F.greatest(s["first"], a["end"]) < s["last"], F.concat(a["spans"], F.array(F.struct(F.greatest(s["first"], a["end"]).alias("first"), s["last"].alias("last"))))).otherwise(a["spans"]).alias("spans"),
-        ),
-    )
-    n = F.col(names[0])["n_words"]
-    items = F.array_sort(F.array_distinct(F.flatten(F.array(*(F.col(n)["items"] for n in names)))))
-    out = out.withColumn(f"_{into}", merged)
-    hit = F.col(f"_{into}")
-    return out.withColumn(into, F.struct(n.alias("n_words"), hit["n"].alias("n_hit"), items.alias("items"), hit["spans"].alias("spans"), ((hit["n"] > 0) & (share * hit["n"] >= n)).alias("contaminated"))).drop(f"_{into}", *names)
+        F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<struct<first:bigint,last:bigint>>").alias("spans")),
+        lambda a, s: F.when(
+            s["first"] > F.coalesce(F.try_element_at(a["spans"], F.lit(-1))["last"], F.lit(-1)),
+            F.struct((a["n"] + s["last"] - s["first"]).alias("n"), F.concat(a["spans"], F.array(s)).alias("spans")),
+        ).otherwise(F.struct(
+            (a["n"] + F.greatest(s["last"] - F.element_at(a["spans"], -1)["last"], F.lit(0))).alias("n"),
+            F.concat(F.slice(a["spans"], 1, F.size(a["spans"]) - 1), F.array(F.struct(F.element_at(a["spans"], -1)["first"].alias("first"), F.greatest(s["last"], F.element_at(a["spans"], -1)["last"]).alias("last")))).alias("spans"),
+        )),
+    )
+    items = F.array_sort(F.array_distinct(F.concat(own["items"], F.coalesce("_m.items", F.array().cast("array<string>")))))
+    told = both.select(*(F.col(f"_d.`{c}`") for c in documents.columns), F.struct(own["n_words"].alias("n_words"), items.alias("items"), merged.alias("merged")).alias(into))
+    hit = F.col(into)
+    n, k = hit["n_words"], hit["merged"]["n"]
+    return told.withColumn(into, F.struct(n.alias("n_words"), k.alias("n_hit"), hit["items"].alias("items"), hit["merged"]["spans"].alias("spans"), ((k > 0) & (share * k >= n)).alias("contaminated")))
 
 
 def _with_struct(documents: DataFrame, text: str, windows: Broadcast, share: int, result: T.StructType, into: str) -> DataFrame:
