@@ -13,7 +13,7 @@ ids, so any id is found by arithmetic, and a block unpacks in a few numpy calls.
 
 Texts are dealt out by ranges of (id, hash of text) and each task sorts its range
 and writes one file through pyarrow's file systems, under a temporary name that is
-then moved: a task that runs twice leaves one whole file. Files lie in the shared
+then moved: a task that runs twice leaves whole files, of which the rows returned name one. Files lie in the shared
 folder; readers open them there. The only thing that meets on the driver is one
 count for each file.
 
@@ -254,12 +254,14 @@ def write_token_files(documents: DataFrame, tokenizer: str, *, id: str = "doc_id
         part = TaskContext.get().partitionId()
         system, top = _open(folder)
         system.create_dir(top, recursive=True)
-        name = f"{top}/part-{part:06d}.tokens"
+        # a name of its own for each attempt: a move never meets an existing file, and the rows returned tell which attempt counts
+        attempt = uuid.uuid4().hex
+        name = f"part-{part:06d}-{attempt}.tokens"
         flat = np.concatenate(ids)
-        with system.open_output_stream(temporary := f"{top}/.{uuid.uuid4().hex}") as out:
+        with system.open_output_stream(temporary := f"{top}/.{attempt}") as out:
             out.write(encode_file(doc_ids, np.concatenate(lengths), flat, bits, block))
-        system.move(temporary, name)
-        yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([f"{folder}/part-{part:06d}.tokens"]), pa.array([len(doc_ids)]), pa.array([len(flat)])], names=["part", "path", "documents", "ids"])
+        system.move(temporary, f"{top}/{name}")
+        yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([f"{folder}/{name}"]), pa.array([len(doc_ids)]), pa.array([len(flat)])], names=["part", "path", "documents", "ids"])
 
     return stored(ranges.mapInArrow(freed(write), "part long, path string, documents long, ids long"), "token-files")
 
