@@ -242,7 +242,10 @@ def write_archives(packed: DataFrame, folder: str, layout: str = "lexical", arch
         if writer is not None:
             summary = writer.finish()
             out.close()
-            system.move(temporary, f"{top}/archive-{part:05d}.zip")
+            # an earlier attempt's file is the same; not every store lets a move replace it
+            if system.get_file_info(to := f"{top}/archive-{part:05d}.zip").type != fs.FileType.NotFound:
+                system.delete_file(to)
+            system.move(temporary, to)
             yield record_batch([{"path": f"{folder}/archive-{part:05d}.zip"} | summary], _SUMMARY)
 
     return stored(rows.mapInArrow(run, spark_schema(_SUMMARY)))
