@@ -11,7 +11,7 @@ from __future__ import annotations
 import itertools
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +65,19 @@ def record_batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(schema.names, schema.types, strict=True)], names=schema.names)
 
 
+def in_batches(rows: Iterator[dict], schema: pa.Schema, size: Callable[[dict], int]) -> Iterator[pa.RecordBatch]:
+    """Batches of about TOGETHER bytes."""
+    out, held = [], 0
+    for row in rows:
+        out.append(row)
+        held += size(row)
+        if held >= TOGETHER or len(out) >= 4096:
+            yield record_batch(out, schema)
+            out, held = [], 0
+    if out:
+        yield record_batch(out, schema)
+
+
 def plan_blocks(decided: DataFrame, p: Profile = Profile()) -> DataFrame:
     """decided (with content) -> a row for each block of entries that are to be compressed: decisions, place, and its bytes with the window before them."""
     columns = decided.select("logical_name", *_DECIDED, "content")
@@ -213,40 +226,60 @@ class ZipWriter:
         return {"central_directory_offset": begin, "central_directory_size": length, "total_entries": n, "archive_size": self.at}
 
 
-def write_archives(packed: DataFrame, folder: str, layout: str = "lexical", archives: int = 1) -> DataFrame:
-    """Writes compress()'s rows as `archives` ZIP files in ranges of the layout; returns a row for each file.
+#: Bytes of payloads and headers in one of several archives, so that a task can read it whole; and the most entries of a directory.
+ARCHIVE_BYTES, ARCHIVE_ENTRIES = 32 << 20, 0xFFFF
+
+
+def write_archives(packed: DataFrame, folder: str, layout: str = "lexical", archives: int | None = 1, bytes_each: int = ARCHIVE_BYTES, entries_each: int = ARCHIVE_ENTRIES) -> DataFrame:
+    """Writes compress()'s rows as ZIP files in ranges of the layout; returns a row for each file.
+
+    With archives=1 there is one file, refused if it doesn't fit the format. More are the least number of files, and with None one may do: a file is full
+    at `entries_each` entries or `bytes_each` bytes (but holds one entry at least), and as many are written as the rows need.
 
     Each file is streamed by one task to a temporary name and then moved, so a lost task leaves nothing half written. A format with one directory
     at its end needs one writer; more archives are more writers.
     """
     order = layout_order(layout)
     parts = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = packed.select("logical_name", "method", "crc32", "uncompressed_size", "payload")
-    # sorted by all tasks; for one archive the sorted partitions are then read in turn
-    rows = rows.repartitionByRange(max(archives, 1) if archives > 1 else parts, *order).sortWithinPartitions(*order)
-    rows = rows if archives > 1 else rows.coalesce(1)
+    rows = packed.select("logical_name", "method", "crc32", "uncompressed_size", "compressed_size", "payload")
+    if single := archives == 1:
+        # sorted by all tasks; the sorted partitions are then read in turn
+        rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).coalesce(1)
+    else:
+        rows = stored(rows)
+        n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("compressed_size"), F.lit(0))).first()
+        rows = rows.repartitionByRange(max(archives or 1, -(-n // entries_each), -(-size // bytes_each)), *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         system, top = fs.FileSystem.from_uri(folder)
         system.create_dir(top, recursive=True)
-        part, writer, out, temporary = TaskContext.get().partitionId(), None, None, f"{top}/.{uuid.uuid4().hex}"
+        part, writer, out, temporary, files = TaskContext.get().partitionId(), None, None, "", 0
+
+        def closed() -> pa.RecordBatch:
+            summary = writer.finish()
+            out.close()
+            name = f"archive-{part:05d}{f'-{files:05d}' if files else ''}.zip"
+            # an earlier attempt's file is the same; not every store lets a move replace it
+            if system.get_file_info(to := f"{top}/{name}").type != fs.FileType.NotFound:
+                system.delete_file(to)
+            system.move(temporary, to)
+            return record_batch([{"path": f"{folder}/{name}"} | summary], _SUMMARY)
+
         for batch in batches:
             for i in range(batch.num_rows):
                 r = batch.slice(i, 1).to_pylist()[0]
+                if writer is not None and not single and (len(writer.records) >= entries_each or writer.at + len(r["payload"]) > bytes_each):
+                    yield closed()
+                    writer, files = None, files + 1
                 if writer is None:
+                    temporary = f"{top}/.{uuid.uuid4().hex}"
                     out = system.open_output_stream(temporary)
                     writer = ZipWriter(out)
                 writer.add(r["logical_name"], r["method"], r["crc32"], r["uncompressed_size"], r["payload"])
         if writer is not None:
-            summary = writer.finish()
-            out.close()
-            # an earlier attempt's file is the same; not every store lets a move replace it
-            if system.get_file_info(to := f"{top}/archive-{part:05d}.zip").type != fs.FileType.NotFound:
-                system.delete_file(to)
-            system.move(temporary, to)
-            yield record_batch([{"path": f"{folder}/archive-{part:05d}.zip"} | summary], _SUMMARY)
+            yield closed()
 
     return stored(rows.mapInArrow(run, spark_schema(_SUMMARY)))
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytegrain.errors import ArchiveConsistency, EngineError, EntryNotFound, VerificationFailed, ZipStructure
-from bytegrain.operators.archive import CENTRAL, CENTRAL_SIGNATURE, END, END_SIGNATURE, LOCAL, LOCAL_SIGNATURE, record_batch, spark_schema
+from bytegrain.operators.archive import CENTRAL, CENTRAL_SIGNATURE, END, END_SIGNATURE, LOCAL, LOCAL_SIGNATURE, in_batches, spark_schema
 from bytegrain.operators.deflate import inflate
 
 _U16, _U32 = struct.Struct("<H"), struct.Struct("<I")
@@ -120,16 +120,16 @@ _CHECKED = pa.schema([("archive", pa.string()), ("name", pa.string()), ("method"
 
 def parse_archives(archives: DataFrame) -> DataFrame:
     """archives (path, content) -> a row for each central record, with what its local header says and its payload; a broken archive is one row with an error."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = _ENTRY
-        blank = dict.fromkeys(schema.names)
+    blank = dict.fromkeys(_ENTRY.names)
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                content = content or b""
+            for path, held in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                content = held.as_py() or b""  # one archive at a time
                 try:
                     found = directory(content)
                 except EngineError as e:
-                    yield record_batch([blank | {"archive": path, "error": f"{type(e).__name__}: {e}"}], schema)
+                    yield blank | {"archive": path, "error": f"{type(e).__name__}: {e}"}
                     continue
                 for entry in found:
                     row = blank | {"archive": path} | entry
@@ -139,7 +139,10 @@ def parse_archives(archives: DataFrame) -> DataFrame:
                         row["local_crc32"], row["local_compressed_size"], row["local_uncompressed_size"] = local_record(content, entry)
                     except EngineError as e:
                         row["error"] = f"{type(e).__name__}: {e}"
-                    yield record_batch([row], schema)
+                    yield row
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return in_batches(records(batches), _ENTRY, lambda r: len(r["payload"] or b""))
 
     return archives.select("path", "content").mapInArrow(run, spark_schema(_ENTRY))
 
@@ -154,7 +157,7 @@ def verify_entries(records: DataFrame, strict: bool = False, keep_content: bool
     parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = _CHECKED if keep_content else _CHECKED.remove(len(_CHECKED) - 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for i in range(batch.num_rows):
                 r = batch.slice(i, 1).to_pylist()[0]
@@ -166,7 +169,10 @@ def verify_entries(records: DataFrame, strict: bool = False, keep_content: bool
                         content = content_of(r, r["payload"])
                     except EngineError as e:
                         error = f"{type(e).__name__}: {e}"
-                yield record_batch([r | {"ok": error is None, "error": error, "content": content}], schema)
+                yield r | {"ok": error is None, "error": error, "content": content if keep_content else None}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return in_batches(checked(batches), schema, lambda r: len(r["content"] or b""))
 
     return records.repartition(parts).mapInArrow(run, spark_schema(schema))
 

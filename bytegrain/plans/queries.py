@@ -155,7 +155,7 @@ def archive_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def verify_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents in four archives of deflated entries, verified strictly."""
+    """Documents in four archives of deflated entries (more, where four can't hold them), verified strictly."""
     folder = _folder(spark)
     write_archives(compress(entries(spark, sf_dir)), folder, archives=4)
     return verification_summary(verify_entries(read_archives(spark, folder), strict=True))

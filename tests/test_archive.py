@@ -218,3 +218,11 @@ def test_inflate_holds_no_more_than_expected():
         with pytest.raises(ValueError):
             inflate(packed, size)
     assert inflate(stock_deflate(b""), 0) == b""
+
+
+def test_archives_beyond_the_formats_entries(spark, folder):
+    """More entries than two directories can hold: further files are written, and all are read back."""
+    rows = spark.range(140_000).selectExpr("cast(id as string) logical_name", "'Stored' method", "crc32(encode(lpad(cast(id as string), 8, '0'), 'UTF-8')) crc32", "8L uncompressed_size", "8L compressed_size", "encode(lpad(cast(id as string), 8, '0'), 'UTF-8') payload")
+    written = write_archives(rows, folder, archives=2).collect()
+    assert len(written) > 2 and max(r["total_entries"] for r in written) <= 0xFFFF and sum(r["total_entries"] for r in written) == 140_000
+    assert verification_summary(verify_entries(read_archives(spark, folder), strict=True)).first().asDict() == {"entries_verified": 140_000, "inflated_bytes": 8 * 140_000, "failures": 0}
