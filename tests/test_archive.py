@@ -226,3 +226,10 @@ def test_archives_beyond_the_formats_entries(spark, folder):
     written = write_archives(rows, folder, archives=2).collect()
     assert len(written) > 2 and max(r["total_entries"] for r in written) <= 0xFFFF and sum(r["total_entries"] for r in written) == 140_000
     assert verification_summary(verify_entries(read_archives(spark, folder), strict=True)).first().asDict() == {"entries_verified": 140_000, "inflated_bytes": 8 * 140_000, "failures": 0}
+
+
+def test_archives_are_bounded_by_bytes(spark, folder):
+    rows = spark.range(400).selectExpr("cast(id as string) logical_name", "'Stored' method", "crc32(encode(repeat('x', 1000), 'UTF-8')) crc32", "1000L uncompressed_size", "1000L compressed_size", "encode(repeat('x', 1000), 'UTF-8') payload")
+    written = write_archives(rows, folder, archives=None, bytes_each=50_000).collect()
+    assert len(written) >= 8 and max(r["central_directory_offset"] for r in written) <= 60_000
+    assert verification_summary(verify_entries(read_archives(spark, folder), strict=True)).first()["entries_verified"] == 400
