@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import time
+import zlib
 from collections.abc import Iterator
+from zipfile import ZIP64_LIMIT, ZIP_FILECOUNT_LIMIT
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytegrain.config import MODE_TABLE, Profile
-from bytegrain.operators.archive import compress
+from bytegrain.operators.archive import CENTRAL, END, compress, record_batch
 from bytegrain.operators.deflate import inflate, stock_deflate
 from bytegrain.operators.stored import stored
 from bytegrain.operators.verify import stock_zip
@@ -24,22 +28,83 @@ def modes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "ordinal int, mode_id string, prediction string, verification string, adaptive boolean, global_huffman boolean, planning string")
 
 
+class _Stream:
+    """A stock codec's raw stream of texts that come one by one: its length and milliseconds, decoded again and compared."""
+
+    def __init__(self, level: int) -> None:
+        self.packer, self.reader, self.bytes, self.seconds = zlib.compressobj(level, zlib.DEFLATED, -15), zlib.decompressobj(-15), 0, 0.0
+        self.given, self.got = hashlib.sha256(), hashlib.sha256()
+
+    def _took(self, out: bytes, begin: float) -> None:
+        self.seconds += time.perf_counter() - begin
+        self.bytes += len(out)
+        self.got.update(self.reader.decompress(out))
+
+    def add(self, data: bytes) -> None:
+        self.given.update(data)
+        t = time.perf_counter()
+        self._took(self.packer.compress(data), t)
+
+    def finish(self) -> None:
+        t = time.perf_counter()
+        self._took(self.packer.flush(), t)
+        self.got.update(self.reader.flush())
+        assert self.reader.eof and self.got.digest() == self.given.digest()
+
+
+class _StockZip:
+    """Size and milliseconds of the stock ZIP of files that come one by one, as verify.stock_zip() writes them."""
+
+    def __init__(self, level: int) -> None:
+        self.level, self.at, self.directory, self.files, self.seconds = level, 0, 0, 0, 0.0
+
+    def add(self, name: str, content: bytes) -> None:
+        t = time.perf_counter()
+        file = stock_zip({name: content}, self.level)
+        central = CENTRAL.size + len(name.encode())
+        self.directory += central + (12 if self.at > ZIP64_LIMIT else 0)  # an offset of 64 bits
+        self.at += len(file) - central - END.size
+        self.files += 1
+        self.seconds += time.perf_counter() - t
+
+    @property
+    def bytes(self) -> int:
+        wide = self.files > ZIP_FILECOUNT_LIMIT or self.at > ZIP64_LIMIT or self.directory > ZIP64_LIMIT
+        return self.at + self.directory + END.size + (76 if wide else 0)  # a wide end record and its locator
+
+
 def stock_baselines(entries: DataFrame, level: int = 6) -> DataFrame:
-    """workload_id, raw_bytes and sizes and milliseconds of the stock codecs over each workload's files joined in name order. entries: with workload_id."""
+    """workload_id, raw_bytes and sizes and milliseconds of the stock codecs over each workload's files joined in name order. entries: with workload_id.
+
+    A workload's files are streamed in order through the codecs, so no task holds more than a batch of them. Of files of one name the last counts.
+    """
     ddl = "workload_id string, raw_bytes long, stock_bytes long, stock_ms double, fast_bytes long, fast_ms double, zip_bytes long, zip_ms double"
+    schema = pa.schema([("workload_id", pa.string()), ("raw_bytes", pa.int64()), *((f"{n}_{k}", t) for n in ("stock", "fast", "zip") for k, t in (("bytes", pa.int64()), ("ms", pa.float64())))])
+    parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def measured(files: Iterator[tuple[str | None, str, bytes]]) -> pa.RecordBatch:
+        size, named = 0, {"stock": _Stream(level), "fast": _Stream(1), "zip": _StockZip(level)}
+        for _, some in itertools.groupby(files, key=lambda f: f[1]):
+            for workload, name, content in some:
+                pass
+            size += len(content)
+            named["stock"].add(content)
+            named["fast"].add(content)
+            named["zip"].add(name, content)
+        named["stock"].finish()
+        named["fast"].finish()
+        row = {"workload_id": workload, "raw_bytes": size}
+        for n, codec in named.items():
+            row |= {f"{n}_bytes": codec.bytes, f"{n}_ms": float(max(1, int(codec.seconds * 1000)))}
+        return record_batch([row], schema)
 
-    def run(table: pa.Table) -> pa.Table:
-        files = dict(sorted(zip(table.column("logical_name").to_pylist(), table.column("content").to_pylist(), strict=True)))
-        flat = b"".join(files.values())
-        out = {"workload_id": table.column("workload_id")[0].as_py(), "raw_bytes": len(flat)}
-        for name, make in (("stock", lambda: stock_deflate(flat, level)), ("fast", lambda: stock_deflate(flat, 1)), ("zip", lambda: stock_zip(files, level))):
-            t = time.perf_counter()
-            got = make()
-            out |= {f"{name}_bytes": len(got), f"{name}_ms": float(max(1, int((time.perf_counter() - t) * 1000)))}
-            assert name == "zip" or inflate(got) == flat
-        return pa.Table.from_pylist([out])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (tuple(c[i].as_py() for c in batch.columns) for batch in batches for i in range(batch.num_rows))
+        for _, files in itertools.groupby(rows, key=lambda f: f[0]):
+            yield measured(files)
 
-    return entries.select("workload_id", "logical_name", "content").groupBy("workload_id").applyInArrow(run, ddl)
+    rows = entries.select("workload_id", "logical_name", "content").repartition(parts, "workload_id").sortWithinPartitions("workload_id", "logical_name", "content")
+    return rows.mapInArrow(run, ddl)
 
 
 def stock_blobs(entries: DataFrame, level: int = 6) -> DataFrame:

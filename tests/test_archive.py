@@ -233,3 +233,25 @@ def test_archives_are_bounded_by_bytes(spark, folder):
     written = write_archives(rows, folder, archives=None, bytes_each=50_000).collect()
     assert len(written) >= 8 and max(r["central_directory_offset"] for r in written) <= 60_000
     assert verification_summary(verify_entries(read_archives(spark, folder), strict=True)).first()["entries_verified"] == 400
+
+
+def test_stock_baselines_stream_a_workload(spark):
+    """The same sizes as of joined files, without a group of a whole workload in one task's Python."""
+    import random
+
+    from bytegrain.operators.deflate import stock_deflate
+
+    r = random.Random(3)
+    files = {f"{i}": b" ".join(r.choice((b"one", b"two", b"thr\xc3\xa9e", b"%d" % i)) for _ in range(r.randrange(900))) for i in range(400)} | {"ü/ä.txt": b"ab" * 40_000, "empty": b""}
+    rows = harness.stock_baselines(spark.createDataFrame([("w", n, bytearray(c)) for n, c in files.items()] + [("v", "a", bytearray(b"x"))], "workload_id string, logical_name string, content binary"))
+    got = {x["workload_id"]: x for x in rows.collect()}
+    flat = b"".join(c for _, c in sorted(files.items()))
+    assert [got["w"][f"{n}_bytes"] for n in ("raw", "stock", "fast", "zip")] == [len(flat), len(stock_deflate(flat)), len(stock_deflate(flat, 1)), len(stock_zip(files))]
+    assert got["v"]["raw_bytes"] == 1 and "FlatMapGroups" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_size_of_a_stock_zip_of_many_files():
+    z, files = harness._StockZip(6), {f"{i}": b"x" for i in range(70_000)}
+    for n, c in files.items():
+        z.add(n, c)
+    assert z.bytes == len(stock_zip(files))
