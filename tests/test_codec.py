@@ -200,3 +200,18 @@ def test_plainer_method_after_a_failure(monkeypatch):
     data = b"some text, some text, some text" * 20
     _, e = compress_entry(data, Model(1, len(data)), Profile())
     assert e.method == "Stored" and e.payload == data
+
+
+@settings(max_examples=60, deadline=None)
+@given(_pieces, st.integers(0, 30), st.sampled_from([1, 3, 64]), st.sampled_from([3, 16, 258]))
+def test_nearest_by_sorts_finds_what_chains_find(data, start, chain, nice):
+    from bytegrain.operators import lz
+
+    raw = np.frombuffer(data, np.uint8)
+    n = len(raw)
+    if n < 3:
+        return
+    eights, room, none, whole = lz._eights(raw), np.minimum(LONGEST, n - np.arange(n)), np.zeros(n, np.int64), np.ones(n - 2, bool)
+    wanted, budget, enough = np.arange(n - 2) >= start, np.full(n, chain), np.full(n, nice)
+    chains = lz._best(raw, eights, room, lz._candidates(raw, none.astype(np.uint16), whole), wanted, budget, enough)
+    assert all((x == y).all() for x, y in zip(lz._nearest(raw, eights, room, none, whole, wanted, budget, enough), chains, strict=True))
