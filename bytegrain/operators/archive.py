@@ -3,7 +3,8 @@
     entries -> signals -> decisions -> blocks -> tokens -> payloads -> archive
 
 Blocks of all entries are one DataFrame, so a large entry uses as many tasks as it has
-blocks. Only a block's tokens are brought together by entry, for the entry's stream.
+blocks. Only the tokens of entries of several blocks are brought together by entry, for
+the entry's stream; an entry of one block is encoded where it is matched.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 from bytegrain.config import Profile
 from bytegrain.errors import RepeatedName, ZipStructure
 from bytegrain.functions import sql as S
-from bytegrain.operators.codec import TOGETHER, Block, cut_blocks, encode_entry, is_adaptive, match_adaptively, match_block, match_together
+from bytegrain.operators.codec import TOGETHER, Block, cut_blocks, encode_entry, is_adaptive, match_adaptively, match_together
 from bytegrain.operators.intel import archive_model, decide, signals
 from bytegrain.operators.layout import layout_order, numbered
 from bytegrain.operators.lz import Tokens
@@ -45,9 +46,10 @@ _MODEL = [*_fields(pa.int64(), "m_entry_count m_total_uncompressed m_text_mass m
 _DECIDED = [f.name for f in (*_PLAN, *_MODEL)]
 _NAME = pa.field("logical_name", pa.string())
 _BLOCK = pa.schema([_NAME, *_PLAN, *_MODEL, *_fields(pa.int64(), "block_id offset length blocks"), *_fields(pa.binary(), "data indexed")])
-_TOKENS = pa.schema([_NAME, *_fields(pa.int64(), "block_id offset length"), *_fields(pa.binary(), "tokens values"), *_fields(pa.int64(), "from_window from_index")])
 _TRACE = pa.struct([*_fields(pa.int64(), "block_id offset raw_bytes compressed_bytes token_count"), *_fields(pa.float64(), "predicted_ratio actual_ratio"), *_fields(pa.int64(), "matches_window matches_index"), pa.field("fallback_code", pa.int32())])
 _PAYLOAD = pa.schema([_NAME, pa.field("method", pa.string()), pa.field("payload", pa.binary()), pa.field("trace", pa.list_(_TRACE))])
+#: A block's tokens, or (of an entry that is encoded already) what _PAYLOAD has.
+_TOKENS = pa.schema([*_PAYLOAD, *_PLAN, *_fields(pa.int64(), "block_id offset length"), *_fields(pa.binary(), "tokens values"), *_fields(pa.int64(), "from_window from_index")])
 _SUMMARY = pa.schema([pa.field("path", pa.string()), *_fields(pa.int64(), "central_directory_offset central_directory_size total_entries archive_size")])
 
 
@@ -55,29 +57,19 @@ def spark_schema(schema: pa.Schema) -> T.StructType:
     return from_arrow_schema(schema)
 
 
+def _entry_plan(row: dict) -> EntryPlan:
+    return EntryPlan(row["entropy_bits"], row["repeat_density"], row["bigram_proxy"], row["match_strength_proxy"], row["predicted_stored"], row["predicted_deflate_path"], row["target_block_bytes"], row["lz77_chain_mult"], row["use_global_huffman"])
+
+
 def _plan(row: dict) -> tuple[EntryPlan, Model]:
-    plan = EntryPlan(row["entropy_bits"], row["repeat_density"], row["bigram_proxy"], row["match_strength_proxy"], row["predicted_stored"], row["predicted_deflate_path"], row["target_block_bytes"], row["lz77_chain_mult"], row["use_global_huffman"])
     model = Model(row["m_entry_count"], row["m_total_uncompressed"], row["m_text_mass"], row["m_duplicate_mass"], block=row["m_suggested_block_bytes"], chain=row["m_lz77_max_chain"], nice=row["m_lz77_nice_match"], stride=row["m_index_stride"])
-    return plan, model
+    return _entry_plan(row), model
 
 
 def record_batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(schema.names, schema.types, strict=True)], names=schema.names)
 
 
-def in_batches(rows: Iterator[dict], schema: pa.Schema, size: Callable[[dict], int]) -> Iterator[pa.RecordBatch]:
-    """Batches of about TOGETHER bytes."""
-    out, held = [], 0
-    for row in rows:
-        out.append(row)
-        held += size(row)
-        if held >= TOGETHER or len(out) >= 4096:
-            yield record_batch(out, schema)
-            out, held = [], 0
-    if out:
-        yield record_batch(out, schema)
-
-
 def plan_blocks(decided: DataFrame, p: Profile = Profile()) -> DataFrame:
     """decided (with content) -> a row for each block of entries that are to be compressed: decisions, place, and its bytes with the window before them."""
     columns = decided.select("logical_name", *_DECIDED, "content")
@@ -103,87 +95,127 @@ def plan_blocks(decided: DataFrame, p: Profile = Profile()) -> DataFrame:
     return columns.mapInArrow(run, spark_schema(_BLOCK))
 
 
-def _token_row(name: str, b: Block, t: Tokens) -> dict:
-    return {"logical_name": name, "block_id": b.number, "offset": b.offset, "length": b.length, "tokens": t.length.tobytes(), "values": t.value.tobytes(), "from_window": t.from_window, "from_index": t.from_index}
+def _token_row(row: dict, t: Tokens) -> dict:
+    return row | {"tokens": t.length.tobytes(), "values": t.value.tobytes(), "from_window": t.from_window, "from_index": t.from_index, "method": None, "payload": None, "trace": None}
 
 
 def _block(row: dict) -> Block:
     return Block(row["block_id"], row["offset"], row["length"], row["data"], row["indexed"])
 
 
-def match_blocks(blocks: DataFrame, p: Profile = Profile()) -> DataFrame:
-    """Tokens of each block. Blocks are independent, and dealt out one by one; with adaptive feedback an entry's blocks follow each other."""
+def _encoded(rows: list[dict], tokens: list[Tokens], p: Profile, trace: bool) -> dict:
+    """What _PAYLOAD has, from an entry's blocks and their tokens."""
+    cut = [Block(r["block_id"], r["offset"], r["length"], b"", None) for r in rows]
+    e = encode_entry(b"", cut, tokens, _entry_plan(rows[0]), p, trace)
+    return {"logical_name": rows[0]["logical_name"], "method": e.method, "payload": None if e.method == "Stored" else e.payload, "trace": e.trace}
+
+
+def _whole(row: dict) -> dict:
+    """A row of an entry that is encoded already."""
+    return dict.fromkeys(_TOKENS.names) | row
+
+
+def in_batches(rows: Iterator[dict], schema: pa.Schema, size: Callable[[dict], int]) -> Iterator[pa.RecordBatch]:
+    """Batches of about TOGETHER bytes."""
+    out, held = [], 0
+    for row in rows:
+        out.append(row)
+        held += size(row)
+        if held >= TOGETHER or len(out) >= 4096:
+            yield record_batch(out, schema)
+            out, held = [], 0
+    if out:
+        yield record_batch(out, schema)
+
+
+def match_blocks(blocks: DataFrame, p: Profile = Profile(), trace: bool = False) -> DataFrame:
+    """Tokens of each block, or the payload of entries that are whole in a task. Blocks are independent, and dealt out one by one; with adaptive feedback an entry's blocks follow each other."""
     parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+    def together(rows: list[dict]) -> Iterator[dict]:
+        plans = map(_plan, rows)
+        found = itertools.chain.from_iterable(match_together([(_block(r), plan.chain(p, model), plan.nice(p, model)) for r, (plan, model) in zip(rows, plans, strict=True)]))
+        for r, t in zip(rows, found, strict=True):
+            yield _whole(_encoded([r], [t], p, trace)) if r["blocks"] == 1 else _token_row(r, t)
+
+    def follow(rows: Iterator[dict]) -> dict:
+        first = next(rows)
+        plan, model = _plan(first)
+        seen = []
+
+        def cut() -> Iterator[Block]:
+            for r in itertools.chain([first], rows):
+                seen.append({n: v for n, v in r.items() if n not in ("data", "indexed")})
+                yield _block(r)
+
+        found = match_adaptively(cut(), plan.chain(p, model), plan.nice(p, model), plan.predicted_ratio(p))
+        return _whole(_encoded(seen, found, p, trace))
+
+    def matched(rows: Iterator[dict]) -> Iterator[dict]:
+        waiting, size = [], 0
+        for _, some in itertools.groupby(rows, key=lambda r: r["logical_name"]):
+            first = next(some)
+            some = itertools.chain([first], some)
+            if is_adaptive(first["blocks"], _entry_plan(first), p):
+                yield follow(some)
+                continue
+            for r in some:
+                if waiting and size + len(r["data"]) > TOGETHER:
+                    yield from together(waiting)
+                    waiting, size = [], 0
+                waiting.append(r)
+                size += len(r["data"])
+        yield from together(waiting)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pylist()
-            plans = map(_plan, rows)
-            blocks = [(_block(r), plan.chain(p, model), plan.nice(p, model)) for r, (plan, model) in zip(rows, plans, strict=True)]
-            at = 0
-            for found in match_together(blocks):
-                some = range(at, at + len(found))
-                yield record_batch([_token_row(rows[i]["logical_name"], blocks[i][0], t) for i, t in zip(some, found, strict=True)], _TOKENS)
-                at += len(found)
-
-    def follow(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["block_id"])
-        plan, model = _plan(rows[0])
-        cut = [_block(r) for r in rows]
-        chain, nice = plan.chain(p, model), plan.nice(p, model)
-        found = match_adaptively(cut, chain, nice, plan.predicted_ratio(p)) if is_adaptive(len(cut), plan, p) else [match_block(b, chain, nice) for b in cut]
-        return pa.Table.from_batches([record_batch([_token_row(rows[0]["logical_name"], b, t) for b, t in zip(cut, found, strict=True)], _TOKENS)])
-
-    if p.adaptive:
-        return blocks.groupBy("logical_name").applyInArrow(follow, spark_schema(_TOKENS))
-    return blocks.repartition(parts, "logical_name", "block_id").mapInArrow(run, spark_schema(_TOKENS))
-
-
-def encode_payloads(tokens: DataFrame, decided: DataFrame, p: Profile = Profile(), trace: bool = False) -> DataFrame:
+        rows = (batch.slice(i, 64) for batch in batches for i in range(0, batch.num_rows, 64))
+        return in_batches(matched(r for some in rows for r in some.to_pylist()), _TOKENS, lambda r: len(r["payload"] or b"") + len(r["tokens"] or b"") * 2)
+
+    dealt = blocks.repartition(parts, "logical_name").sortWithinPartitions("logical_name", "block_id") if p.adaptive else blocks.repartition(parts, "logical_name", "block_id")
+    return dealt.mapInArrow(run, spark_schema(_TOKENS))
+
+
+def encode_payloads(tokens: DataFrame, p: Profile = Profile(), trace: bool = False) -> DataFrame:
     """logical_name, method, payload (null if it is the content itself) and block trace of the compressed entries."""
     # dealt out by name and sorted, so that one task reads an entry's blocks one after another; no task holds more than one entry and a batch
     parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = tokens.repartition(parts, "logical_name").join(decided.select("logical_name", *_DECIDED), "logical_name").sortWithinPartitions("logical_name", "block_id")
+    rows = tokens.repartition(parts, "logical_name").sortWithinPartitions("logical_name", "block_id")
 
     def encoded(found: list[dict]) -> dict:
-        plan, _ = _plan(found[0])
-        cut = [Block(r["block_id"], r["offset"], r["length"], b"", None) for r in found]
-        toks = [Tokens(np.frombuffer(r["tokens"], np.uint16), np.frombuffer(r["values"], np.uint16), r["from_window"], r["from_index"]) for r in found]
-        e = encode_entry(bytes(sum(b.length for b in cut)) if trace else b"", cut, toks, plan, p, trace)
-        return {"logical_name": found[0]["logical_name"], "method": e.method, "payload": None if e.method == "Stored" else e.payload, "trace": e.trace}
+        if found[0]["method"] is not None:
+            return found[0]
+        return _encoded(found, [Tokens(np.frombuffer(r["tokens"], np.uint16), np.frombuffer(r["values"], np.uint16), r["from_window"], r["from_index"]) for r in found], p, trace)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, size = [], 0
-        each_row = (row for batch in batches for row in batch.to_pylist())
-        for _, blocks in itertools.groupby(each_row, key=lambda r: r["logical_name"]):
-            out.append(encoded(list(blocks)))
-            size += len(out[-1]["payload"] or b"")
-            if size >= TOGETHER:
-                yield record_batch(out, _PAYLOAD)
-                out, size = [], 0
-        if out:
-            yield record_batch(out, _PAYLOAD)
+        some = (batch.slice(i, 64) for batch in batches for i in range(0, batch.num_rows, 64))
+        each_row = (row for x in some for row in x.to_pylist())
+        return in_batches((encoded(list(blocks)) for _, blocks in itertools.groupby(each_row, key=lambda r: r["logical_name"])), _PAYLOAD, lambda r: len(r["payload"] or b""))
 
     return rows.mapInArrow(run, spark_schema(_PAYLOAD))
 
 
-def compress(entries: DataFrame, p: Profile = Profile(), trace: bool = False) -> DataFrame:
-    """logical_name, uncompressed_size, method, crc32, compressed_size, stored_effective, payload, trace: one row for each entry. Blocks meet by name, so a repeated (or null) name is refused."""
-    measured = signals(entries, p)
+def encoded_entries(entries: DataFrame, p: Profile = Profile(), trace: bool = False) -> DataFrame:
+    """encode_payloads()'s rows of those entries that are to be compressed. Blocks meet by name, so a repeated (or null) name is refused."""
+    measured = stored(signals(entries, p))
     model = stored(archive_model(measured, p, shortcut=True))
-    decided = decide(signals(entries, p, keep_content=True), model, p)
-    plans = stored(decided.drop("content"))
-    if repeated := plans.groupBy("logical_name").count().where("count > 1 or logical_name is null").take(1):
+    if repeated := measured.groupBy("logical_name").count().where("count > 1 or logical_name is null").take(1):
         raise RepeatedName(f"{repeated[0]['logical_name']} names {repeated[0]['count']} entries")
-    done = encode_payloads(match_blocks(plan_blocks(decided, p), p), plans, p, trace)
-    whole = entries.select("logical_name", "uncompressed_size", "content").join(done, "logical_name", "left")
-    payload = F.coalesce("payload", "content")
-    return whole.select("logical_name", "uncompressed_size", F.coalesce("method", F.lit("Stored")).alias("method"), F.crc32("content").alias("crc32"), F.octet_length(payload).cast("long").alias("compressed_size"), (F.coalesce("method", F.lit("Stored")) == "Stored").alias("stored_effective"), payload.alias("payload"), "trace")
+    decided = decide(signals(entries, p, keep_content=True), model, p)
+    return encode_payloads(match_blocks(plan_blocks(decided, p), p, trace), p, trace)
+
+
+def compress(entries: DataFrame, p: Profile = Profile(), trace: bool = False) -> DataFrame:
+    """logical_name, uncompressed_size, method, crc32, compressed_size, stored_effective, payload, trace: one row for each entry. Blocks meet by name, so a repeated (or null) name is refused."""
+    # sizes and checksums are taken before the join, so that contents meet payloads only for who reads payloads
+    done = encoded_entries(entries, p, trace).withColumn("packed", F.octet_length("payload").cast("long"))
+    whole = entries.select("logical_name", "uncompressed_size", F.crc32("content").alias("crc32"), "content").join(done, "logical_name", "left")
+    method = F.coalesce("method", F.lit("Stored"))
+    return whole.select("logical_name", "uncompressed_size", method.alias("method"), "crc32", F.coalesce("packed", "uncompressed_size").alias("compressed_size"), (method == "Stored").alias("stored_effective"), F.coalesce("payload", "content").alias("payload"), "trace")
 
 
 def block_trace(entries: DataFrame, p: Profile = Profile()) -> DataFrame:
     """A row for each compressed block: sizes, tokens, matches, predicted and actual ratio."""
-    return compress(entries, p, trace=True).select("logical_name", F.explode("trace").alias("t")).select("logical_name", "t.*")
+    return encoded_entries(entries, p, trace=True).select("logical_name", F.explode("trace").alias("t")).select("logical_name", "t.*")
 
 
 # --- ZIP -------------------------------------------------------------------------

@@ -255,3 +255,10 @@ def test_size_of_a_stock_zip_of_many_files():
     for n, c in files.items():
         z.add(n, c)
     assert z.bytes == len(stock_zip(files))
+
+
+def test_adaptive_entries_need_no_group_each(spark):
+    """Entries of one block are matched side by side; no Python group for each entry, and no second pass of the contents for the trace."""
+    rows = block_trace(spark.createDataFrame([(f"{i}", 400, bytearray(b"some text, %d " % i * 40)) for i in range(20)], SCHEMA), Profile(adaptive=True))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and "LeftOuter" not in plan
