@@ -9,6 +9,7 @@ from bytegrain.config import Profile
 from bytegrain.functions import sql as S
 from bytegrain.operators.archive import compress
 from bytegrain.operators.intel import intel, intel_summary
+from bytegrain.operators.stored import stored
 
 _BLOCKS = "array<struct<id: long, offset: long, length: long, predicted: string, actual: string, predicted_ratio: double, actual_ratio: double, matches: struct<window: long, index: long>, match_dominance: string, fallback: boolean, fallback_reason: string, lz77_tokens: long, compressed_bytes: long>>"
 
@@ -39,7 +40,7 @@ def explain(entries: DataFrame, p: Profile = Profile(), run: bool = True, packed
     """The archive's row, and a row for each file. The model behind predictions takes no shortcut for small archives; a run's does."""
     rows = intel(entries, p)
     if run and packed is None:
-        packed = compress(entries, p, trace=True)
+        packed = stored(compress(entries, p, trace=True).drop("payload"))  # read for the sizes and for the trace
     archive = intel_summary(rows).select(F.col("global_entropy_bits").alias("entropy"), F.lit(p.strategy).alias("strategy"), F.lit(p.global_huffman).alias("global_huffman"), "predicted_ratio")
     if packed is None:
         return archive.withColumn("actual_ratio", F.lit(0.0)), explain_files(rows)

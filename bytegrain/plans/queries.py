@@ -194,7 +194,7 @@ def bundle_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bundle_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a run told of bundles' blocks: their bytes add up, and no block has more tokens than bytes."""
-    t = block_trace(bundles(spark, sf_dir), Profile(adaptive=True))
+    t = block_trace(stored(bundles(spark, sf_dir)), Profile(adaptive=True))
     return t.groupBy("logical_name").agg(F.sum("raw_bytes").alias("raw_bytes"), F.count(F.when(F.col("token_count") > F.col("raw_bytes"), 1)).alias("too_many_tokens"), F.count(F.when(F.abs(F.col("actual_ratio") * F.col("raw_bytes") - F.col("compressed_bytes")) > 1e-6, 1)).alias("wrong_ratios"))
 
 

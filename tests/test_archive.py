@@ -262,3 +262,10 @@ def test_adaptive_entries_need_no_group_each(spark):
     rows = block_trace(spark.createDataFrame([(f"{i}", 400, bytearray(b"some text, %d " % i * 40)) for i in range(20)], SCHEMA), Profile(adaptive=True))
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroups" not in plan and "LeftOuter" not in plan
+
+
+@pytest.mark.parametrize("name", ["bundle_trace"])
+def test_bundles_are_made_once(spark, name):
+    from bytegrain.plans.queries import QUERIES
+
+    assert "collect_list(struct(doc_id" not in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
