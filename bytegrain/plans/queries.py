@@ -200,7 +200,7 @@ def bundle_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def explain_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The explanation of bundles after a run: the actual side beside the predicted one."""
-    files = explain(bundles(spark, sf_dir))[1]
+    files = explain(stored(bundles(spark, sf_dir)))[1]
     length = F.aggregate("blocks", F.lit(0).cast("long"), lambda a, b: a + b["length"])
     return files.select("name", "size", F.round("predicted_ratio", 9).alias("predicted_ratio"), "actual", ((F.col("actual_ratio") > 0) & (F.col("actual_ratio") < 1)).alias("smaller"), length.alias("explained_bytes"))
 

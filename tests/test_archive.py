@@ -264,7 +264,12 @@ def test_adaptive_entries_need_no_group_each(spark):
     assert "FlatMapGroups" not in plan and "LeftOuter" not in plan
 
 
-@pytest.mark.parametrize("name", ["bundle_trace"])
+def test_a_run_is_made_once_for_its_explanation(spark):
+    files = explain(spark.createDataFrame([(f"{i}", 400, bytearray(b"some text, %d " % i * 40)) for i in range(5)], SCHEMA))[1]
+    assert "REPARTITION_BY_NUM" not in files._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["bundle_trace", "explain_run"])
 def test_bundles_are_made_once(spark, name):
     from bytegrain.plans.queries import QUERIES
 
