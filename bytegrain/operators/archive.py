@@ -30,7 +30,7 @@ from bytegrain.operators.intel import archive_model, decide, signals
 from bytegrain.operators.layout import layout_order, numbered
 from bytegrain.operators.lz import Tokens
 from bytegrain.operators.plan_entry import EntryPlan, Model
-from bytegrain.operators.stored import stored
+from bytegrain.operators.stored import new_path, scratch, shuffles_deleted, stored
 
 
 
@@ -198,7 +198,9 @@ def encoded_entries(entries: DataFrame, p: Profile = Profile(), trace: bool = Fa
     """encode_payloads()'s rows of those entries that are to be compressed. Blocks meet by name, so a repeated (or null) name is refused."""
     measured = stored(signals(entries, p))
     model = stored(archive_model(measured, p, shortcut=True))
-    if repeated := measured.groupBy("logical_name").count().where("count > 1 or logical_name is null").take(1):
+    with shuffles_deleted(entries.sparkSession):
+        repeated = measured.groupBy("logical_name").count().where("count > 1 or logical_name is null").take(1)
+    if repeated:
         raise RepeatedName(f"{repeated[0]['logical_name']} names {repeated[0]['count']} entries")
     decided = decide(signals(entries, p, keep_content=True), model, p)
     return encode_payloads(match_blocks(plan_blocks(decided, p), p, trace), p, trace)
@@ -274,13 +276,16 @@ def write_archives(packed: DataFrame, folder: str, layout: str = "lexical", arch
     order = layout_order(layout)
     parts = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = packed.select("logical_name", "method", "crc32", "uncompressed_size", "compressed_size", "payload")
-    if single := archives == 1:
-        # sorted by all tasks; the sorted partitions are then read in turn
-        rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).coalesce(1)
-    else:
-        rows = stored(rows)
-        n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("compressed_size"), F.lit(0))).first()
-        rows = rows.repartitionByRange(max(archives or 1, -(-n // entries_each), -(-size // bytes_each)), *order).sortWithinPartitions(*order)
+    single, summary = archives == 1, new_path(packed.sparkSession, "table")
+
+    def ranges() -> DataFrame:
+        if single:
+            # sorted by all tasks; the sorted partitions are then read in turn
+            return rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).coalesce(1)
+        held = stored(rows)
+        with shuffles_deleted(held.sparkSession):
+            n, size = held.agg(F.count(F.lit(1)), F.coalesce(F.sum("compressed_size"), F.lit(0))).first()
+        return held.repartitionByRange(max(archives or 1, -(-n // entries_each), -(-size // bytes_each)), *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -313,7 +318,8 @@ def write_archives(packed: DataFrame, folder: str, layout: str = "lexical", arch
         if writer is not None:
             yield closed()
 
-    return stored(rows.mapInArrow(run, spark_schema(_SUMMARY)))
+    with scratch(packed.sparkSession):  # payloads are in the files
+        return stored(ranges().mapInArrow(run, spark_schema(_SUMMARY)), summary)
 
 
 def local_offsets(packed: DataFrame, layout: str = "lexical") -> DataFrame:

@@ -19,7 +19,7 @@ from bytegrain.operators.archive import block_trace, compress, local_offsets, pl
 from bytegrain.operators.explain import as_json, explain, explain_files
 from bytegrain.operators.intel import archive_model, decide, intel, intel_summary, pattern_counts, prior_matches, signals
 from bytegrain.operators.layout import numbered
-from bytegrain.operators.stored import shared_folder, stored
+from bytegrain.operators.stored import new_path, scratch, stored
 from bytegrain.operators.verify import read_archives, round_trip, verification_summary, verify_entries
 from bytegrain.sources.entries import from_table
 
@@ -149,14 +149,14 @@ def adaptive_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def archive_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items compressed, written, read back and compared: every row must match."""
     source = entries(spark, sf_dir, "benchmark")
-    folder = _folder(spark)
+    folder = new_path(spark, "archives")
     write_archives(compress(source), folder, archives=None)
     return round_trip(source, verify_entries(read_archives(spark, folder), strict=True, keep_content=True))
 
 
 def verify_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in four archives of deflated entries (more, where four can't hold them), verified strictly."""
-    folder = _folder(spark)
+    folder = new_path(spark, "archives")
     write_archives(compress(entries(spark, sf_dir)), folder, archives=4)
     return verification_summary(verify_entries(read_archives(spark, folder), strict=True))
 
@@ -171,15 +171,18 @@ BUNDLE_PROFILES = {"default": Profile(), "adaptive": Profile(adaptive=True), "gl
 
 
 def bundles_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bundles compressed under each profile, written, read back, checked strictly and hashed."""
-    source, out = stored(bundles(spark, sf_dir)), None
-    for name, p in BUNDLE_PROFILES.items():
-        folder = _folder(spark)
-        write_archives(compress(source, p), folder, archives=2)
-        read = verify_entries(read_archives(spark, folder), strict=True, keep_content=True)
-        rows = read.select(F.lit(name).alias("profile"), F.col("name").alias("logical_name"), "ok", "uncompressed_size", (F.col("compressed_size") < F.col("uncompressed_size")).alias("smaller"), F.sha2("content", 256).alias("sha256"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """Bundles compressed under each profile, written, read back, checked strictly and hashed. What a profile needs goes when its rows are stored, so the disk holds one profile's at a time."""
+    paths = {name: new_path(spark, "table") for name in BUNDLE_PROFILES}
+    with scratch(spark):
+        source = stored(bundles(spark, sf_dir))
+        for name, p in BUNDLE_PROFILES.items():
+            with scratch(spark):
+                folder = new_path(spark, "archives")
+                write_archives(compress(source, p), folder, archives=2)
+                read = verify_entries(read_archives(spark, folder), strict=True, keep_content=True)
+                rows = read.select(F.lit(name).alias("profile"), F.col("name").alias("logical_name"), "ok", "uncompressed_size", (F.col("compressed_size") < F.col("uncompressed_size")).alias("smaller"), F.sha2("content", 256).alias("sha256"))
+                done = stored(rows, paths[name])
+    return spark.read.schema(done.schema).parquet(*paths.values())
 
 
 def bundle_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,12 +217,6 @@ def harness_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nine(harness.winners(best, orders))
 
 
-def _folder(spark: SparkSession) -> str:
-    import uuid
-
-    return f"{shared_folder(spark)}/bytegrain/archives-{uuid.uuid4().hex}"
-
-
 def mode_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harness.modes(spark)
 

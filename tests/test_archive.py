@@ -2,6 +2,7 @@ import io
 import json
 import os
 import zipfile
+from pathlib import Path
 
 import pytest
 
@@ -274,3 +275,25 @@ def test_bundles_are_made_once(spark, name):
     from bytegrain.plans.queries import QUERIES
 
     assert "collect_list(struct(doc_id" not in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_round_trip_holds_one_profile_at_a_time(spark, monkeypatch):
+    """Archives, payloads and shuffle files of a profile are gone when the next begins; what stays at the end are the rows."""
+    from bytegrain.plans import queries
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    blocks = spark._jsc.sc().env().blockManager().diskBlockManager()
+
+    def held() -> set[str]:
+        found = {str(f) for f in shared.rglob("*") if f.is_file() and not f.name.startswith((".", "_"))}
+        return found | {b for b in blocks.getAllBlocks().mkString("\n").split("\n") if b.startswith("shuffle_")}
+
+    before, seen, write = held(), [], queries.write_archives
+    monkeypatch.setattr(queries, "write_archives", lambda *a, **k: (seen.append(held() - before), write(*a, **k), seen.append(held() - before))[1])
+    out = queries.bundles_round_trip(spark, "/root/testdata/sf0.001")
+    left = held() - before
+    assert not any("shuffle_" in f or f.endswith(".zip") for f in left)
+    assert {f.rsplit("/", 1)[0] for f in left} == {p.removeprefix("file:").replace("///", "/").rsplit("/", 1)[0] for p in out.inputFiles()}
+    assert sum(f.endswith(".zip") for x in seen[1::2] for f in x) == 2 * len(queries.BUNDLE_PROFILES)  # none but its own
+    assert not any("shuffle_" in f for x in seen for f in x)
+    assert out.count() == 4 * len(queries.BUNDLE_PROFILES)
