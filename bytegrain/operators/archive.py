@@ -25,7 +25,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 from bytegrain.config import Profile
 from bytegrain.errors import RepeatedName, ZipStructure
 from bytegrain.functions import sql as S
-from bytegrain.operators.codec import TOGETHER, Block, cut_blocks, encode_entry, is_adaptive, match_adaptively, match_together
+from bytegrain.operators.codec import TOGETHER, Block, compress_each, cut_blocks, encode_entry, is_adaptive, match_adaptively, match_together
 from bytegrain.operators.intel import archive_model, decide, signals
 from bytegrain.operators.layout import layout_order, numbered
 from bytegrain.operators.lz import Tokens
@@ -50,6 +50,8 @@ _TRACE = pa.struct([*_fields(pa.int64(), "block_id offset raw_bytes compressed_b
 _PAYLOAD = pa.schema([_NAME, pa.field("method", pa.string()), pa.field("payload", pa.binary()), pa.field("trace", pa.list_(_TRACE))])
 #: A block's tokens, or (of an entry that is encoded already) what _PAYLOAD has.
 _TOKENS = pa.schema([*_PAYLOAD, *_PLAN, *_fields(pa.int64(), "block_id offset length"), *_fields(pa.binary(), "tokens values"), *_fields(pa.int64(), "from_window from_index")])
+#: What compress() has, under a profile.
+_PACKED = pa.schema([pa.field("profile", pa.string()), _NAME, *_fields(pa.int64(), "uncompressed_size"), pa.field("method", pa.string()), *_fields(pa.int64(), "crc32 compressed_size"), pa.field("stored_effective", pa.bool_()), pa.field("payload", pa.binary())])
 _SUMMARY = pa.schema([pa.field("path", pa.string()), *_fields(pa.int64(), "central_directory_offset central_directory_size total_entries archive_size")])
 
 
@@ -61,9 +63,12 @@ def _entry_plan(row: dict) -> EntryPlan:
     return EntryPlan(row["entropy_bits"], row["repeat_density"], row["bigram_proxy"], row["match_strength_proxy"], row["predicted_stored"], row["predicted_deflate_path"], row["target_block_bytes"], row["lz77_chain_mult"], row["use_global_huffman"])
 
 
+def _model(row: dict) -> Model:
+    return Model(row["m_entry_count"], row["m_total_uncompressed"], row["m_text_mass"], row["m_duplicate_mass"], block=row["m_suggested_block_bytes"], chain=row["m_lz77_max_chain"], nice=row["m_lz77_nice_match"], stride=row["m_index_stride"])
+
+
 def _plan(row: dict) -> tuple[EntryPlan, Model]:
-    model = Model(row["m_entry_count"], row["m_total_uncompressed"], row["m_text_mass"], row["m_duplicate_mass"], block=row["m_suggested_block_bytes"], chain=row["m_lz77_max_chain"], nice=row["m_lz77_nice_match"], stride=row["m_index_stride"])
-    return _entry_plan(row), model
+    return _entry_plan(row), _model(row)
 
 
 def record_batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
@@ -194,27 +199,88 @@ def encode_payloads(tokens: DataFrame, p: Profile = Profile(), trace: bool = Fal
     return rows.mapInArrow(run, spark_schema(_PAYLOAD))
 
 
-def encoded_entries(entries: DataFrame, p: Profile = Profile(), trace: bool = False) -> DataFrame:
-    """encode_payloads()'s rows of those entries that are to be compressed. Blocks meet by name, so a repeated (or null) name is refused."""
+def whole_model(entries: DataFrame, p: Profile = Profile()) -> DataFrame:
+    """The model of an archive of the entries, stored. Blocks meet by name, so a repeated (or null) name is refused."""
     measured = stored(signals(entries, p))
     model = stored(archive_model(measured, p, shortcut=True))
     with shuffles_deleted(entries.sparkSession):
         repeated = measured.groupBy("logical_name").count().where("count > 1 or logical_name is null").take(1)
     if repeated:
         raise RepeatedName(f"{repeated[0]['logical_name']} names {repeated[0]['count']} entries")
+    return model
+
+
+def whole_models(entries: DataFrame, profiles: dict[str, Profile]) -> dict[str, DataFrame]:
+    """whole_model() under each profile; the entries are measured once for profiles that measure alike."""
+    found = {}
+    keys = {name: (p.base_block, p.min_block, p.max_block, p.sample_cap) for name, p in profiles.items()}
+    for name, p in profiles.items():
+        if keys[name] not in found:
+            found[keys[name]] = whole_model(entries, p)
+    return {name: found[k] for name, k in keys.items()}
+
+
+def encoded_entries(entries: DataFrame, p: Profile = Profile(), trace: bool = False, model: DataFrame | None = None) -> DataFrame:
+    """encode_payloads()'s rows of those entries that are to be compressed. model: whole_model() of the archive, where the entries are a part of it."""
+    model = whole_model(entries, p) if model is None else model
     decided = decide(signals(entries, p, keep_content=True), model, p)
     return encode_payloads(match_blocks(plan_blocks(decided, p), p, trace), p, trace)
 
 
-def compress(entries: DataFrame, p: Profile = Profile(), trace: bool = False) -> DataFrame:
+def compress(entries: DataFrame, p: Profile = Profile(), trace: bool = False, model: DataFrame | None = None) -> DataFrame:
     """logical_name, uncompressed_size, method, crc32, compressed_size, stored_effective, payload, trace: one row for each entry. Blocks meet by name, so a repeated (or null) name is refused."""
     # sizes and checksums are taken before the join, so that contents meet payloads only for who reads payloads
-    done = encoded_entries(entries, p, trace).withColumn("packed", F.octet_length("payload").cast("long"))
+    done = encoded_entries(entries, p, trace, model).withColumn("packed", F.octet_length("payload").cast("long"))
     whole = entries.select("logical_name", "uncompressed_size", F.crc32("content").alias("crc32"), "content").join(done, "logical_name", "left")
     method = F.coalesce("method", F.lit("Stored"))
     return whole.select("logical_name", "uncompressed_size", method.alias("method"), "crc32", F.coalesce("packed", "uncompressed_size").alias("compressed_size"), (method == "Stored").alias("stored_effective"), F.coalesce("payload", "content").alias("payload"), "trace")
 
 
+#: Entries of so many bytes at most may be compressed by one task; and the bytes of entries that make a task.
+WHOLE_ENTRY, TASK_BYTES = 4 << 20, 2 << 20
+
+
+def compress_under(entries: DataFrame, profiles: dict[str, Profile], models: dict[str, DataFrame] | None = None, whole: int = WHOLE_ENTRY) -> DataFrame:
+    """profile and compress()'s columns (but no trace) for each entry under each of several profiles. models: whole_models() of the archive, where the entries are a part of it.
+
+    A task compresses entries of at most `whole` bytes under all profiles, and matches blocks once that profiles search alike: contents are dealt out once,
+    and neither blocks with the bytes before them nor tokens are shuffled. Blocks of larger entries are dealt out as compress() does.
+    """
+    spark = entries.sparkSession
+    models = whole_models(entries, profiles) if models is None else models
+    rows = {name: model.first().asDict() for name, model in models.items()}
+    runs = [(p, _model({f"m_{k}": v for k, v in rows[name].items()})) for name, p in profiles.items()]
+    names, large = list(profiles), F.coalesce(F.col("uncompressed_size") > whole, F.lit(False))
+    with shuffles_deleted(spark):
+        size, larger = entries.agg(F.coalesce(F.sum(F.when(~large, F.col("uncompressed_size"))), F.lit(0)), F.count(F.when(large, 1))).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES)
+
+    def packed(waiting: list[tuple[str, bytes]]) -> Iterator[dict]:
+        for (name, content), found in zip(waiting, compress_each([c for _, c in waiting], runs), strict=True):
+            for profile, e in zip(names, found, strict=True):
+                yield {"profile": profile, "logical_name": name, "uncompressed_size": len(content), "method": e.method, "crc32": e.crc32, "compressed_size": len(e.payload), "stored_effective": e.method == "Stored", "payload": e.payload}
+
+    def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        waiting, held = [], 0
+        for batch in batches:
+            for name, content in zip(batch.column(0), batch.column(1), strict=True):
+                waiting.append((name.as_py(), content.as_py()))
+                held += len(waiting[-1][1])
+                if held >= TOGETHER:
+                    yield from packed(waiting)
+                    waiting, held = [], 0
+        yield from packed(waiting)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return in_batches(compressed(batches), _PACKED, lambda r: len(r["payload"]))
+
+    out = entries.where(~large).select("logical_name", "content").repartition(parts, "logical_name").mapInArrow(run, spark_schema(_PACKED))
+    if larger:
+        for name, p in profiles.items():
+            out = out.unionByName(compress(entries.where(large), p, model=models[name]).select(F.lit(name).alias("profile"), *_PACKED.names[1:]))
+    return out
+
+
 def block_trace(entries: DataFrame, p: Profile = Profile()) -> DataFrame:
     """A row for each compressed block: sizes, tokens, matches, predicted and actual ratio."""
     return encoded_entries(entries, p, trace=True).select("logical_name", F.explode("trace").alias("t")).select("logical_name", "t.*")
@@ -264,11 +330,12 @@ class ZipWriter:
 ARCHIVE_BYTES, ARCHIVE_ENTRIES = 32 << 20, 0xFFFF
 
 
-def write_archives(packed: DataFrame, folder: str, layout: str = "lexical", archives: int | None = 1, bytes_each: int = ARCHIVE_BYTES, entries_each: int = ARCHIVE_ENTRIES) -> DataFrame:
+def write_archives(packed: DataFrame, folder: str, layout: str = "lexical", archives: int | None = 1, bytes_each: int = ARCHIVE_BYTES, entries_each: int = ARCHIVE_ENTRIES, is_stored: bool = False) -> DataFrame:
     """Writes compress()'s rows as ZIP files in ranges of the layout; returns a row for each file.
 
     With archives=1 there is one file, refused if it doesn't fit the format. More are the least number of files, and with None one may do: a file is full
-    at `entries_each` entries or `bytes_each` bytes (but holds one entry at least), and as many are written as the rows need.
+    at `entries_each` entries or `bytes_each` bytes (but holds one entry at least), and as many are written as the rows need. They are stored to be
+    counted, unless they are read from a table already (is_stored).
 
     Each file is streamed by one task to a temporary name and then moved, so a lost task leaves nothing half written. A format with one directory
     at its end needs one writer; more archives are more writers.
@@ -282,7 +349,7 @@ def write_archives(packed: DataFrame, folder: str, layout: str = "lexical", arch
         if single:
             # sorted by all tasks; the sorted partitions are then read in turn
             return rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).coalesce(1)
-        held = stored(rows)
+        held = rows if is_stored else stored(rows)
         with shuffles_deleted(held.sparkSession):
             n, size = held.agg(F.count(F.lit(1)), F.coalesce(F.sum("compressed_size"), F.lit(0))).first()
         return held.repartitionByRange(max(archives or 1, -(-n // entries_each), -(-size // bytes_each)), *order).sortWithinPartitions(*order)

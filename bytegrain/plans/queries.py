@@ -15,11 +15,11 @@ from pyspark.sql.window import Window
 from bytegrain.config import MODE_TABLE, MODES, PLANNING, Profile
 from bytegrain.functions import sql as S
 from bytegrain.operators import harness
-from bytegrain.operators.archive import block_trace, compress, local_offsets, plan_blocks, write_archives
+from bytegrain.operators.archive import block_trace, compress, compress_under, local_offsets, plan_blocks, whole_models, write_archives
 from bytegrain.operators.explain import as_json, explain, explain_files
 from bytegrain.operators.intel import archive_model, decide, intel, intel_summary, pattern_counts, prior_matches, signals
 from bytegrain.operators.layout import numbered
-from bytegrain.operators.stored import new_path, scratch, stored
+from bytegrain.operators.stored import new_path, scratch, shuffles_deleted, stored
 from bytegrain.operators.verify import read_archives, round_trip, verification_summary, verify_entries
 from bytegrain.sources.entries import from_table
 
@@ -170,19 +170,34 @@ def bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 BUNDLE_PROFILES = {"default": Profile(), "adaptive": Profile(adaptive=True), "global_huffman": Profile(global_huffman=True), "both": Profile(adaptive=True, global_huffman=True), "fixed": Profile(strategy="Fixed", mode="Off"), "safe": Profile(planning="Safe", mode="Aggressive")}
 
 
-def bundles_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bundles compressed under each profile, written, read back, checked strictly and hashed. What a profile needs goes when its rows are stored, so the disk holds one profile's at a time."""
-    paths = {name: new_path(spark, "table") for name in BUNDLE_PROFILES}
+#: Bytes of bundles whose payloads and archives are on the disk at a time.
+ROUND_BYTES = 512 << 20
+
+
+def bundles_round_trip(spark: SparkSession, sf_dir: str, round_bytes: int = ROUND_BYTES) -> DataFrame:
+    """Bundles compressed under each profile, written, read back, checked strictly and hashed.
+
+    That is done in rounds, each with the bundles of a share of the names' hashes, as many as their bytes need. What a round needs goes when its rows are stored,
+    so that beside the bundles and the rows the disk holds a round's payloads and one profile's archives, whatever the input.
+    """
+    rows_at = new_path(spark, "table")
     with scratch(spark):
         source = stored(bundles(spark, sf_dir))
-        for name, p in BUNDLE_PROFILES.items():
+        models = whole_models(source, BUNDLE_PROFILES)
+        with shuffles_deleted(spark):
+            size = source.agg(F.coalesce(F.sum("uncompressed_size"), F.lit(0))).first()[0]
+        rounds = max(1, -(-size // round_bytes))
+        for i in range(rounds):
             with scratch(spark):
-                folder = new_path(spark, "archives")
-                write_archives(compress(source, p), folder, archives=2)
-                read = verify_entries(read_archives(spark, folder), strict=True, keep_content=True)
-                rows = read.select(F.lit(name).alias("profile"), F.col("name").alias("logical_name"), "ok", "uncompressed_size", (F.col("compressed_size") < F.col("uncompressed_size")).alias("smaller"), F.sha2("content", 256).alias("sha256"))
-                done = stored(rows, paths[name])
-    return spark.read.schema(done.schema).parquet(*paths.values())
+                packed = stored(compress_under(source.where(F.pmod(F.xxhash64("logical_name"), F.lit(rounds)) == i), BUNDLE_PROFILES, models))
+                for name in BUNDLE_PROFILES:
+                    with scratch(spark):
+                        folder = new_path(spark, "archives")
+                        write_archives(packed.where(F.col("profile") == name), folder, archives=2, is_stored=True)
+                        read = verify_entries(read_archives(spark, folder), strict=True, keep_content=True)
+                        rows = read.select(F.lit(name).alias("profile"), F.col("name").alias("logical_name"), "ok", "uncompressed_size", (F.col("compressed_size") < F.col("uncompressed_size")).alias("smaller"), F.sha2("content", 256).alias("sha256"))
+                        stored(rows, f"{rows_at}/{i}-{name}")
+    return spark.read.schema(rows.schema).parquet(*(f"{rows_at}/{i}-{name}" for i in range(rounds) for name in BUNDLE_PROFILES))
 
 
 def bundle_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from bytegrain.config import MODE_TABLE, Profile
 from bytegrain.errors import ArchiveConsistency, EmptyArchive, EntryNotFound, InvalidPath, ZipStructure
 from bytegrain.operators import harness
-from bytegrain.operators.archive import ZipWriter, block_trace, compress, create_archive, local_offsets, write_archives
+from bytegrain.operators.archive import ZipWriter, block_trace, compress, compress_under, create_archive, local_offsets, write_archives
 from bytegrain.operators.deflate import stock_deflate
 from bytegrain.operators.explain import as_json, explain
 from bytegrain.operators.stored import stored
@@ -297,3 +297,27 @@ def test_a_round_trip_holds_one_profile_at_a_time(spark, monkeypatch):
     assert sum(f.endswith(".zip") for x in seen[1::2] for f in x) == 2 * len(queries.BUNDLE_PROFILES)  # none but its own
     assert not any("shuffle_" in f for x in seen for f in x)
     assert out.count() == 4 * len(queries.BUNDLE_PROFILES)
+
+
+def test_bundles_go_round_in_rounds(spark, monkeypatch):
+    """A round has payloads of some bundles only; with all rounds every bundle comes back under each profile, as with one."""
+    from bytegrain.plans import queries
+
+    wanted = [tuple(r) for r in queries.bundles(spark, "/root/testdata/sf0.001").selectExpr("logical_name", "uncompressed_size", "sha2(content, 256)").collect()]
+    sizes, write, size = [], queries.write_archives, sum(r[1] for r in wanted)
+    monkeypatch.setattr(queries, "write_archives", lambda packed, *a, **k: (sizes.append(packed.count()), write(packed, *a, **k))[1])
+    rows = queries.bundles_round_trip(spark, "/root/testdata/sf0.001", size // 2 + 1).collect()
+    assert len(sizes) == 2 * len(queries.BUNDLE_PROFILES) and 0 < sizes[0] < len(wanted) and sum(sizes) == len(rows)
+    assert {tuple(r) for r in rows} == {(p, n, True, size, True, sha256) for p in queries.BUNDLE_PROFILES for n, size, sha256 in wanted}
+
+
+def test_compressing_under_several_profiles_is_compressing_under_each(spark):
+    text = b"".join(b"line %d of some text, %d\n" % (i, i * i % 977) for i in range(9000))
+    files = {"text": text, "empty": b"", "small": b"abc " * 50, "noise": noise(70_000, 3), "tiny": b"x", "zero": bytes(40_000), "both": text[:90_000] + noise(30_000, 5) + text[5000:60_000]}
+    rows = spark.createDataFrame([(n, len(c), bytearray(c)) for n, c in files.items()], SCHEMA)
+    profiles = {"adaptive": Profile(adaptive=True), "global_huffman": Profile(global_huffman=True), "small": Profile(strategy="Fixed", mode="Off", max_block=65536), "stored": Profile(method="Stored")}
+    got = compress_under(rows, profiles, whole=150_000)  # `text` and `both` are dealt out by blocks
+    wanted = {(name, *r) for name, p in profiles.items() for r in map(tuple, compress(rows, p).drop("trace").collect())}
+    assert got.count() == len(wanted) and set(map(tuple, got.collect())) == wanted
+    whole = compress_under(rows, profiles)
+    assert whole._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 1 and set(map(tuple, whole.collect())) == wanted

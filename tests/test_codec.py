@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 
 from bytegrain.config import MODE_TABLE, Profile
 from bytegrain.functions.kernels import bucket_hash, class_counts
+from bytegrain.operators import codec
 from bytegrain.operators.blocks import cut_entry
 from bytegrain.operators.codec import compress_entry
 from bytegrain.operators.deflate import Bits, build_code, deflate_bytes, distance_symbols, encode_blocks, inflate, length_symbols, limited_lengths, packed
@@ -215,3 +216,15 @@ def test_nearest_by_sorts_finds_what_chains_find(data, start, chain, nice):
     wanted, budget, enough = np.arange(n - 2) >= start, np.full(n, chain), np.full(n, nice)
     chains = lz._best(raw, eights, room, lz._candidates(raw, none.astype(np.uint16), whole), wanted, budget, enough)
     assert all((x == y).all() for x, y in zip(lz._nearest(raw, eights, room, none, whole, wanted, budget, enough), chains, strict=True))
+
+
+def test_profiles_that_search_alike_share_their_matches(monkeypatch):
+    """The same payloads as one by one, and each block is matched once for its chain and length."""
+    text = b"".join(b"line %d of some text, %d\n" % (i, i * i % 977) for i in range(9000))
+    contents = [text[:150_000], b"", b"abc " * 100, text[9_000:10_000], bytes(5000)]
+    profiles = [Profile(), Profile(global_huffman=True), Profile(adaptive=True), Profile(adaptive=True, global_huffman=True), Profile(mode="Off", strategy="Fixed")]
+    model, seen, match = Model(5, sum(map(len, contents)), 200_000, block=32768, chain=64, nice=64, stride=2), [], codec.tokenize_all
+    wanted = [[codec.compress_entry(c, model, p)[1] for p in profiles] for c in contents]
+    monkeypatch.setattr(codec, "tokenize_all", lambda tasks: (seen.extend((t.data, t.start, t.max_chain, t.nice) for t in tasks), match(tasks))[1])
+    assert list(codec.compress_each(contents, [(p, model) for p in profiles])) == wanted
+    assert len(seen) == len(set(seen))
