@@ -11,7 +11,7 @@ from bytegrain.operators import codec
 from bytegrain.operators.blocks import cut_entry
 from bytegrain.operators.codec import compress_entry
 from bytegrain.operators.deflate import Bits, build_code, deflate_bytes, distance_symbols, encode_blocks, inflate, length_symbols, limited_lengths, packed
-from bytegrain.operators.lz import LAZY_BELOW, LONGEST, WINDOW, Task, Tokens, indexed_positions, tokenize, tokenize_all
+from bytegrain.operators.lz import LAZY_BELOW, LONGEST, WINDOW, Task, Tokens, indexed_positions, tokenize, tokenize_all, tokenize_searches
 from bytegrain.operators.plan_entry import Model, model_of
 from bytegrain.sources.corpus import noise, recipes
 
@@ -219,12 +219,22 @@ def test_nearest_by_sorts_finds_what_chains_find(data, start, chain, nice):
 
 
 def test_profiles_that_search_alike_share_their_matches(monkeypatch):
-    """The same payloads as one by one, and each block is matched once for its chain and length."""
+    """The same payloads as one by one, each block is sorted once, and searched once for its chain and length."""
     text = b"".join(b"line %d of some text, %d\n" % (i, i * i % 977) for i in range(9000))
     contents = [text[:150_000], b"", b"abc " * 100, text[9_000:10_000], bytes(5000)]
     profiles = [Profile(), Profile(global_huffman=True), Profile(adaptive=True), Profile(adaptive=True, global_huffman=True), Profile(mode="Off", strategy="Fixed")]
-    model, seen, match = Model(5, sum(map(len, contents)), 200_000, block=32768, chain=64, nice=64, stride=2), [], codec.tokenize_all
+    model, seen, match = Model(5, sum(map(len, contents)), 200_000, block=32768, chain=64, nice=64, stride=2), [], codec.tokenize_searches
     wanted = [[codec.compress_entry(c, model, p)[1] for p in profiles] for c in contents]
-    monkeypatch.setattr(codec, "tokenize_all", lambda tasks: (seen.extend((t.data, t.start, t.max_chain, t.nice) for t in tasks), match(tasks))[1])
+    monkeypatch.setattr(codec, "tokenize_searches", lambda tasks, searches: (seen.extend((t.data, t.start, tuple(s)) for t, s in zip(tasks, searches, strict=True)), match(tasks, searches))[1])
     assert list(codec.compress_each(contents, [(p, model) for p in profiles])) == wanted
-    assert len(seen) == len(set(seen))
+    assert len(seen) == len({s[:2] for s in seen}) and all(len(s) == len(set(s)) for _, _, s in seen)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.one_of(st.binary(max_size=300), st.lists(st.sampled_from([b"ab", b"abc", b"aaaa", b"xyz", b"a"]), max_size=200).map(b"".join)), st.integers(0, 60), st.lists(st.tuples(st.integers(1, 90), st.integers(3, 258)), min_size=1, max_size=4)), min_size=1, max_size=3))
+def test_searches_side_by_side_find_what_each_finds(cases):
+    found = tokenize_searches([Task(data, min(start, len(data)), 0, 0) for data, start, _ in cases], [s for _, _, s in cases])
+    for (data, start, searches), each in zip(cases, found, strict=True):
+        for (chain, nice), t in zip(searches, each, strict=True):
+            alone = tokenize(data, min(start, len(data)), chain, nice)
+            assert np.array_equal(t.length, alone.length) and np.array_equal(t.value, alone.value) and t.from_window == alone.from_window
