@@ -170,15 +170,15 @@ def bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 BUNDLE_PROFILES = {"default": Profile(), "adaptive": Profile(adaptive=True), "global_huffman": Profile(global_huffman=True), "both": Profile(adaptive=True, global_huffman=True), "fixed": Profile(strategy="Fixed", mode="Off"), "safe": Profile(planning="Safe", mode="Aggressive")}
 
 
-#: Bytes of bundles whose payloads and archives are on the disk at a time.
-ROUND_BYTES = 512 << 20
+#: The most rounds that bundles go round in, and the bytes of bundles that are worth one. In eight, a round needs less of the disk than making the bundles does.
+ROUNDS, ROUND_BYTES = 8, 128 << 20
 
 
 def bundles_round_trip(spark: SparkSession, sf_dir: str, round_bytes: int = ROUND_BYTES) -> DataFrame:
     """Bundles compressed under each profile, written, read back, checked strictly and hashed.
 
-    That is done in rounds, each with the bundles of a share of the names' hashes, as many as their bytes need. What a round needs goes when its rows are stored,
-    so that beside the bundles and the rows the disk holds a round's payloads and one profile's archives, whatever the input.
+    That is done in rounds, each with the bundles of a share of the names' hashes. What a round needs goes when its rows are stored, so that beside the
+    bundles and the rows the disk holds a round's payloads and one profile's archives.
     """
     rows_at = new_path(spark, "table")
     with scratch(spark):
@@ -186,7 +186,7 @@ def bundles_round_trip(spark: SparkSession, sf_dir: str, round_bytes: int = ROUN
         models = whole_models(source, BUNDLE_PROFILES)
         with shuffles_deleted(spark):
             size = source.agg(F.coalesce(F.sum("uncompressed_size"), F.lit(0))).first()[0]
-        rounds = max(1, -(-size // round_bytes))
+        rounds = min(ROUNDS, max(1, -(-size // round_bytes)))
         for i in range(rounds):
             with scratch(spark):
                 packed = stored(compress_under(source.where(F.pmod(F.xxhash64("logical_name"), F.lit(rounds)) == i), BUNDLE_PROFILES, models))
